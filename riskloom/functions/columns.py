@@ -72,8 +72,9 @@ def has_name(vpa) -> Column:
 # --- exact moments --------------------------------------------------------
 # Sums of amounts run as decimals so that values which entered a sliding window
 # leave it without a trace; doubles would keep rounding noise.
-AMOUNT = "decimal(24,6)"
-SQUARE = "decimal(38,12)"
+AMOUNT = "decimal(15,6)"
+TOTAL = "decimal(22,6)"
+SQUARES = "decimal(34,12)"
 
 
 def exact(amount) -> Column:
@@ -81,7 +82,7 @@ def exact(amount) -> Column:
 
 
 def exact_square(amount) -> Column:
-    return (exact(amount) * exact(amount)).cast(SQUARE)
+    return exact(amount) * exact(amount)
 
 
 def mean(total: Column, n: Column) -> Column:
@@ -89,12 +90,18 @@ def mean(total: Column, n: Column) -> Column:
 
 
 def std(total: Column, squares: Column, n: Column) -> Column:
-    """Population standard deviation; below 1e-9 of the mean counts as 0."""
-    count = n.cast("decimal(20,0)")
-    avg = (total / count).cast("decimal(30,18)")
-    spread = (squares / count).cast("decimal(38,13)") - (avg * avg).cast("decimal(38,13)")
-    root = F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0)))
-    return F.when(n > 0, F.when(root < 1e-9 * F.abs(avg.cast("double")), 0.0).otherwise(root))
+    """Population standard deviation; below 1e-9 of the mean counts as 0.
+
+    Squares are re-centred in decimals around the rounded mean, so nothing is
+    lost where the deviation is small against the amounts."""
+    total, count = total.cast(TOTAL), n.cast("decimal(12,0)")
+    centre = (total / count).cast(AMOUNT)
+    drift = total - count * centre
+    around = squares - centre * (total + drift).cast(TOTAL)
+    spread = around.cast("double") / n - F.pow(drift.cast("double") / n, F.lit(2.0))
+    root = F.sqrt(F.greatest(spread, F.lit(0.0)))
+    floor = 1e-9 * F.abs(centre.cast("double"))
+    return F.when(n > 0, F.when(root < floor, 0.0).otherwise(root))
 
 
 # --- circular mean of the hour of day --------------------------------------

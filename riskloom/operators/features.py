@@ -42,8 +42,8 @@ def _payer_spec() -> dict[str, tuple[Track, Column, int | None]]:
         "payer_n_24h": (Track("payer_n_24h"), one, DAY),
         "payer_n_30d": (Track("payer_n_30d"), one, MONTH),
         "payer_n": (Track("payer_n"), one, None),
-        "payer_sum_30d": (Track("payer_sum_30d", "decimal(34,6)"), C.exact("amount"), MONTH),
-        "payer_sq_30d": (Track("payer_sq_30d", C.SQUARE), C.exact_square("amount"), MONTH),
+        "payer_sum_30d": (Track("payer_sum_30d", C.TOTAL), C.exact("amount"), MONTH),
+        "payer_sq_30d": (Track("payer_sq_30d", C.SQUARES), C.exact_square("amount"), MONTH),
         "payer_collect_30d": (Track("payer_collect_30d"),
                               F.when(F.col("initiation_mode") == "COLLECT_REQUEST", 1).otherwise(0), MONTH),
         "payer_new_30d": (Track("payer_new_30d"), F.when(F.col("pair_n") == 0, 1).otherwise(0), MONTH),
@@ -60,8 +60,8 @@ def _payee_spec():
         "payee_n": (Track("payee_n"), one, None),
         "payee_first_us": (Track("payee_first_us", "long", "min"), F.col("us"), None),
         "payee_p2m": (Track("payee_p2m"), F.when(F.col("txn_type") == "P2M", 1).otherwise(0), None),
-        "payee_sum": (Track("payee_sum", "decimal(34,6)"), C.exact("amount"), None),
-        "payee_sq": (Track("payee_sq", C.SQUARE), C.exact_square("amount"), None),
+        "payee_sum": (Track("payee_sum", C.TOTAL), C.exact("amount"), None),
+        "payee_sq": (Track("payee_sq", C.SQUARES), C.exact_square("amount"), None),
     }
 
 
