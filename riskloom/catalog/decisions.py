@@ -13,6 +13,7 @@ from ..operators import features as feats
 from ..operators import metrics as mx
 from ..operators import monitor as mo
 from ..operators import thresholds as th
+from ..session import materialize
 from ..sources import testviews as views
 from .history import features_sql
 from .shared import DECISIONS, LABELS, TXN, big, r, tidy
@@ -429,7 +430,8 @@ FEATURE_NUMERIC = [f for f in ALL_FEATURES if f not in CATEGORICAL]
 
 
 def _feature_rows(sp, d):
-    return tidy(feats.point_in_time(views.txn(sp, d)))
+    # read several times below, so computed and stored once
+    return materialize(tidy(feats.point_in_time(views.txn(sp, d))))
 
 
 def _feature_sides(sp, d):

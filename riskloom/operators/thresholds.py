@@ -31,7 +31,13 @@ def binned(df: DataFrame, route="route", score="score", label="label", amount="a
         F.count("*").alias("n"), F.count_if(~fraud).alias("legit"),
         F.sum(F.when(fraud, F.col(amount)).otherwise(0.0)).alias("value"))
     grid = got.select(route).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(LAST))))
-    return grid.join(got, [route, "bin"], "left").fillna(0, ["n", "legit", "value"])
+    return _held(grid.join(got, [route, "bin"], "left").fillna(0, ["n", "legit", "value"]))
+
+
+def _held(small: DataFrame) -> DataFrame:
+    """Keep a table of at most 201 bins per route on the driver, so that the
+    passes over it never scan the scored rows again."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
 def _with_sums(bins: DataFrame, route: str) -> DataFrame:
