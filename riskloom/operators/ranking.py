@@ -94,14 +94,18 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float], groups: tupl
     return got.select(*groups, "n", *out)
 
 
+def text_cuts(df: DataFrame, column: str, rows: int) -> list[str]:
+    """Cut points of a text column of about `rows` rows, from a bounded sample."""
+    n = pieces_for(df)
+    share = min(1.0, 64 * n / max(rows, 1))
+    keys = sorted({r[0] for r in df.select(column).sample(share, 17).limit(256 * n).collect() if r[0] is not None})
+    return sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+
+
 def smallest(df: DataFrame, column: str, count: int, rows: int) -> DataFrame:
     """The `count` rows of `df` (about `rows` in all) with the smallest distinct
     `column`, found without sorting the table in one place."""
-    n = pieces_for(df)
-    sample = df.select(column).sample(min(1.0, 64 * n / max(rows, 1)), 17).limit(256 * n).collect()
-    keys = sorted({r[0] for r in sample})
-    points = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
-    cut = df.withColumn(_PIECE, piece(F.col(column), points))
+    cut = df.withColumn(_PIECE, piece(F.col(column), text_cuts(df, column, rows)))
     sizes = dict(sorted((r[0], r[1]) for r in cut.groupBy(_PIECE).count().collect()))
     whole, left = [], count
     for p, size in sizes.items():

@@ -23,22 +23,26 @@ def check_events(df: DataFrame, body: str, labels: bool) -> DataFrame:
     where the row is valid. With `labels=False` (serving input) label fields
     are unknown fields and therefore rejected."""
     fields = {WIRE_TIME if f.name == "ts" else f.name: f for f in EVENT if labels or f.name not in LABEL_COLUMNS}
-    optional = {"label_typology"}
-    m = F.col("_m")
-    df = df.withColumn("_m", F.from_json(F.col(body), "map<string,string>"))
-    allowed = F.array(*[F.lit(n) for n in fields])
-    extra = F.array_except(F.map_keys(m), allowed)
-    missing = F.filter(F.array(*[F.lit(n) for n in fields if n not in optional]), lambda n: m[n].isNull())
-    cast = {n: m[n] if f.dataType.simpleString() == "string" else m[n].try_cast(f.dataType) for n, f in fields.items()}
-    checks = [
-        (m.isNull(), "not a JSON object"),
-        (F.size(extra) > 0, F.concat(F.lit("unknown field: "), F.array_join(F.array_sort(extra), ", "))),
-        (F.size(missing) > 0, F.concat(F.lit("missing field: "), F.array_join(missing, ", "))),
-    ]
-    checks += [(m[n].isNotNull() & c.isNull(), f"bad value: {n}") for n, c in cast.items()]
-    checks += [(~m[n].isin(*values), f"bad value: {n}") for n, values in _DOMAINS.items()]
-    e = F.struct(*[c.alias(fields[n].name) for n, c in cast.items()])
-    return df.withColumn("reason", _first_reason(checks)).withColumn("e", e).drop("_m")
+    needed = [n for n in fields if n != "label_typology"]
+
+    def judge(m: Column) -> Column:
+        allowed = F.array(*[F.lit(n) for n in fields])
+        extra = F.array_except(F.map_keys(m), allowed)
+        missing = F.filter(F.array(*[F.lit(n) for n in needed]), lambda n: m[n].isNull())
+        cast = {n: m[n] if f.dataType.simpleString() == "string" else m[n].try_cast(f.dataType) for n, f in fields.items()}
+        checks = [
+            (m.isNull(), "not a JSON object"),
+            (F.size(extra) > 0, F.concat(F.lit("unknown field: "), F.array_join(F.array_sort(extra), ", "))),
+            (F.size(missing) > 0, F.concat(F.lit("missing field: "), F.array_join(missing, ", "))),
+        ]
+        checks += [(m[n].isNotNull() & c.isNull(), f"bad value: {n}") for n, c in cast.items()]
+        checks += [(~m[n].isin(*values), f"bad value: {n}") for n, values in _DOMAINS.items()]
+        return F.struct(_first_reason(checks).alias("reason"),
+                        F.struct(*[c.alias(fields[n].name) for n, c in cast.items()]).alias("e"))
+
+    # Bound as a lambda variable, the body is parsed once however often a field is read.
+    parsed = F.from_json(F.col(body), "map<string,string>")
+    return df.withColumn("_c", F.transform(F.array(parsed), judge)[0]).select("*", "_c.reason", "_c.e").drop("_c")
 
 
 def split_events(df: DataFrame, body: str = "event", labels: bool = False) -> tuple[DataFrame, DataFrame]:

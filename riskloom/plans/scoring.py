@@ -12,7 +12,7 @@ from ..operators import model as md
 from ..operators.backtest import backtest
 from ..schema import EVENT
 from ..session import materialize
-from ..sources.decision_log import DecisionLog
+from ..sources.decision_log import BROADCAST_ROWS, DecisionLog
 
 _NO_CODES = "array<struct<code:string,message:string,feature:string,value:string,contribution:double>>"
 
@@ -25,12 +25,17 @@ def features_of(batch: DataFrame, history: DataFrame | None) -> DataFrame:
     cols = EVENT.names
     rows = batch.select(*cols).withColumn("_new", F.lit(True))
     if history is not None:
-        # only histories that share a party with the batch can matter
+        # Only histories that share a party with the batch can matter. The
+        # party lists of a micro-batch are broadcast once their size is known.
         keys = {c: batch.select(c).distinct() for c in ("payer_vpa", "payee_vpa", "device_id")}
+        if batch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            keys = {c: F.broadcast(k.withColumn(f"_{c}", F.lit(True))) for c, k in keys.items()}
+        else:
+            keys = {c: k.withColumn(f"_{c}", F.lit(True)) for c, k in keys.items()}
         old = history.select(*cols).join(batch.select("txn_id"), "txn_id", "left_anti")
         touched = None
         for c, k in keys.items():
-            old = old.join(k.withColumn(f"_{c}", F.lit(True)), c, "left")
+            old = old.join(k, c, "left")
             touched = F.col(f"_{c}").isNotNull() if touched is None else touched | F.col(f"_{c}").isNotNull()
         rows = rows.unionByName(old.where(touched).select(*cols).withColumn("_new", F.lit(False)))
     new = rows.where("_new").select("txn_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,14 +21,18 @@ WARM_PR_AUC_MIN = 0.75
 
 
 @dataclass
-class Trained:
+class Fitted:
     models: dict[str, md.RouteModel]
     thresholds: policy.Thresholds
-    metrics: DataFrame
+    rows: DataFrame                 # feature rows with their split
     scored_test: DataFrame
     cells: DataFrame
+
+
+@dataclass
+class Trained(Fitted):
+    metrics: DataFrame = None
     ablation: md.RouteModel | None = None
-    notes: dict = field(default_factory=dict)
 
 
 def _scored(model: md.RouteModel, rows: DataFrame) -> DataFrame:
@@ -61,16 +65,14 @@ def evaluate(name: str, scored: DataFrame, bootstrap: int = 0, calibrated: bool
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(features: DataFrame, train=TRAIN_DAYS, val=VAL_DAYS, test=TEST_DAYS, trees: int = 100,
-        min_positives: int = MIN_POSITIVES, bootstrap: int = 0, ablation: bool = False, version: str = "v1",
-        check_leaks: bool = True) -> Trained:
-    """Split in time, train both routes, calibrate, pick thresholds on the
-    validation rows, evaluate on the test rows.
+def fit(features: DataFrame, train=TRAIN_DAYS, val=VAL_DAYS, test=TEST_DAYS, trees: int = 100,
+        min_positives: int = MIN_POSITIVES, version: str = "v1", check_leaks: bool = True) -> Fitted:
+    """Split in time, train and calibrate both routes, pick thresholds on the
+    validation rows and score the test rows.
 
     `features` is read many times: it is stored once first."""
     rows = materialize(split_by_day(features, None, train, val, test).where("split IS NOT NULL"))
     assert_in_time(rows)
-    cells = mx.cell_counts(rows)
     fit_rows = for_training(rows.where("split = 'train'"))
     require_positives(fit_rows, min_positives)
     models, validated, tested = {}, [], []
@@ -82,25 +84,36 @@ def run(features: DataFrame, train=TRAIN_DAYS, val=VAL_DAYS, test=TEST_DAYS, tre
         validated.append(_scored(m, v).withColumn("route", F.lit(route)))
         tested.append(_scored(m, rows.where((F.col("split") == "test") & mine)))
     # the combined set is the cold and the warm rows together
-    scored_val = materialize(validated[0].unionByName(validated[1]))
-    scored_test = materialize(tested[0].unionByName(tested[1]))
-    thresholds = th.as_thresholds(th.stricter_cold(th.optimize(scored_val)))
-    parts = [evaluate("cold", scored_test.where("is_cold"), bootstrap),
-             evaluate("warm", scored_test.where("NOT is_cold"), bootstrap),
-             evaluate("combined", scored_test, calibrated=False),
-             evaluate("rules_baseline", md.rules_score(scored_test), calibrated=False)]
-    out = Trained(models, thresholds, None, scored_test, cells)
+    thresholds = th.as_thresholds(th.stricter_cold(th.optimize(validated[0].unionByName(validated[1]))))
+    return Fitted(models, thresholds, rows, materialize(tested[0].unionByName(tested[1])), mx.cell_counts(rows))
+
+
+def ablate(fitted: Fitted, trees: int = 100, check_leaks: bool = True) -> tuple[md.RouteModel, DataFrame]:
+    """The warm model without pair history, and the share of PR-AUC it keeps."""
+    fewer = [f for f in ALL_FEATURES if f not in md.PAIR_HISTORY]
+    warm = fitted.rows.where("NOT is_cold")
+    m = md.train(for_training(warm.where("split = 'train'")), warm.where("split = 'val'"), fewer, trees=trees,
+                 version="ablation", check=check_leaks)
+    less = mx.rank_metrics(materialize(_scored(m, warm.where("split = 'test'"))))
+    full = mx.rank_metrics(fitted.scored_test.where("NOT is_cold")).select(F.col("pr_auc").alias("_full"))
+    return m, less.crossJoin(F.broadcast(full)).withColumn("pr_auc_retained", F.col("pr_auc") / F.col("_full")).drop("_full")
+
+
+def run(features: DataFrame, train=TRAIN_DAYS, val=VAL_DAYS, test=TEST_DAYS, trees: int = 100,
+        min_positives: int = MIN_POSITIVES, bootstrap: int = 0, ablation: bool = False, version: str = "v1",
+        check_leaks: bool = True) -> Trained:
+    """`fit` plus the evaluation of every route, of both together, of the rules
+    baseline and, if asked, of the ablation."""
+    f = fit(features, train, val, test, trees, min_positives, version, check_leaks)
+    scored = f.scored_test
+    parts = [evaluate("cold", scored.where("is_cold"), bootstrap),
+             evaluate("warm", scored.where("NOT is_cold"), bootstrap),
+             evaluate("combined", scored, calibrated=False),
+             evaluate("rules_baseline", md.rules_score(scored), calibrated=False)]
+    out = Trained(f.models, f.thresholds, f.rows, scored, f.cells)
     if ablation:
-        fewer = [f for f in ALL_FEATURES if f not in md.PAIR_HISTORY]
-        warm = F.col("is_cold") == F.lit(False)
-        out.ablation = md.train(fit_rows.where(warm), rows.where((F.col("split") == "val") & warm), fewer, trees=trees,
-                                version=f"ablation-{version}", check=check_leaks)
-        ablated = materialize(_scored(out.ablation, rows.where((F.col("split") == "test") & warm)))
-        less = mx.rank_metrics(ablated)
-        share = less.select(F.col("pr_auc").alias("a")).crossJoin(
-            mx.rank_metrics(scored_test.where("NOT is_cold")).select("pr_auc")).select(
-            (F.col("a") / F.col("pr_auc")).alias("pr_auc_retained"))
-        parts += [long_table("ablation_no_pair_history", less), long_table("ablation_no_pair_history", share)]
+        out.ablation, kept = ablate(f, trees, check_leaks)
+        parts.append(long_table("ablation_no_pair_history", kept))
     out.metrics = materialize(reduce(DataFrame.unionByName, parts))
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +29,23 @@ def build(master: str | None = None, **extra) -> SparkSession:
     return b.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that outlives lost executors.
-
-    The cluster names the shared folder in `spark.checkpoint.dir`; only where
-    neither that nor a context folder is set (tests) is a new one made."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir` as the cluster
+    sets it; only where nothing is set (tests) a new one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for intermediate tables inside the shared folder."""
+    return f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint that outlives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

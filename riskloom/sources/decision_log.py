@@ -19,8 +19,9 @@ class AppendOnly:
 
     day_of = "ts"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, grain: str = "day"):
+        """`grain` is the time span of one partition folder, e.g. day or month."""
+        self.spark, self.path, self.grain = spark, path, grain
 
     def read(self) -> DataFrame | None:
         try:
@@ -44,15 +45,16 @@ class AppendOnly:
         return first.join(known, "txn_id", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
-        rows = self.new_rows(batch).withColumn("day", F.to_date(self.day_of))
-        rows.write.mode("append").partitionBy("day").parquet(self.path)
+        rows = self.new_rows(batch).withColumn("period", F.to_date(F.date_trunc(self.grain, self.day_of)))
+        # rebalance splits large periods over tasks and gathers small ones
+        rows.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(self.path)
 
     def fingerprint(self) -> DataFrame:
-        """Row count and content hash per day; equal before and after any
-        append for the days it did not touch."""
+        """Row count and content hash per period; equal before and after any
+        append for the periods it did not touch."""
         df = self.read()
-        rows = F.xxhash64(F.to_json(F.struct(*[c for c in df.columns if c != "day"])))
-        return df.groupBy("day").agg(F.count("*").alias("n"), F.bit_xor(rows).alias("content"))
+        rows = F.xxhash64(F.to_json(F.struct(*[c for c in df.columns if c != "period"])))
+        return df.groupBy("period").agg(F.count("*").alias("n"), F.bit_xor(rows).alias("content"))
 
 
 class EventHistory(AppendOnly):

@@ -12,6 +12,8 @@ from ..schema import EVENT, WIRE_TIME
 
 WIRE = T.StructType([T.StructField(WIRE_TIME if f.name == "ts" else f.name, f.dataType) for f in EVENT])
 _TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in WIRE])
+# Event times travel with microseconds and an offset.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _TRUE = ("true", "1", "y", "yes")
 
 
@@ -63,16 +65,15 @@ def write_events(events: DataFrame, folder: str) -> tuple[str, str]:
     """The event set as JSON lines and as CSV with a header."""
     out = to_wire(events)
     json_path, csv_path = f"{folder}/events.jsonl", f"{folder}/events.csv"
-    out.write.mode("overwrite").option("ignoreNullFields", False).json(json_path)
-    out.write.mode("overwrite").option("header", True).option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(csv_path)
+    out.write.mode("overwrite").option("ignoreNullFields", False).option("timestampFormat", TIME_FORMAT).json(json_path)
+    out.write.mode("overwrite").option("header", True).option("timestampFormat", TIME_FORMAT).csv(csv_path)
     return json_path, csv_path
 
 
 def encode() -> Column:
     """The message body of an event row: its fields as JSON text."""
     fields = [F.col("ts").alias(WIRE_TIME) if f.name == "ts" else F.col(f.name) for f in EVENT]
-    return F.to_json(F.struct(*fields), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"})
+    return F.to_json(F.struct(*fields), {"timestampFormat": TIME_FORMAT, "ignoreNullFields": "false"})
 
 
 def decode(message: str) -> Column:
