@@ -203,7 +203,7 @@ def histories(events: DataFrame, hot: dict[str, list] | None = None, width: int
     rows = payer_devices(settle(rows, payer), payer, width)
     rows = payer_summary(reads(settle(rows, payer), "payer", hot=payer, width=width))
     if payer:
-        rows = split_median(settle(rows, payer), "payer_vpa", "amount", MONTH, "payer_median_30d", payer)
+        rows = split_median(settle(rows, payer), "payer_vpa", "amount", MONTH, "payer_median_30d", payer, width)
     else:
         rows = sliding_median(rows, "payer_vpa", "amount", MONTH, "payer_median_30d")
     rows = payee_summary(reads(settle(rows, payee), "payee", hot=payee, width=width))
