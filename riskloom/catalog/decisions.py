@@ -10,6 +10,7 @@ from ..functions.registry import ALL_FEATURES, CATEGORICAL
 from ..operators import backtest as bt
 from ..operators import drift as dr
 from ..operators import features as feats
+from ..operators import history as h
 from ..operators import metrics as mx
 from ..operators import monitor as mo
 from ..operators import thresholds as th
@@ -176,6 +177,19 @@ add("event_summary", lambda sp, d: mx.event_summary(views.txn(sp, d)),
 add("typology_counts", lambda sp, d: mx.typology_counts(views.txn(sp, d)),
     f"WITH {TXN} SELECT coalesce(label_typology, 'legit') AS typology, count(*) AS n FROM txn GROUP BY 1")
 
+add("max_rolling_fanin_by_class", lambda sp, d: mx.rolling_payers_by_class(views.txn(sp, d), h.max_rolling_payers(views.txn(sp, d))),
+    f"WITH {TXN}, m AS (SELECT payee_vpa, max(d) AS most FROM (SELECT payee_vpa, count(DISTINCT payer_vpa) OVER (PARTITION BY payee_vpa "
+    "ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS d FROM txn) q GROUP BY 1), "
+    "c AS (SELECT DISTINCT payee_vpa, label_typology AS class FROM txn WHERE label_typology IN ('MULE_FANIN', 'legit')) "
+    f"SELECT class, count(*) AS n, {r('quantile_cont(most, 0.5)')} AS median, {r('quantile_cont(most, 0.95)')} AS p95 "
+    "FROM c JOIN m USING (payee_vpa) GROUP BY class")
+add("new_payees_by_window", lambda sp, d: mx.new_payees_by_window(views.txn(sp, d), 30, 4),
+    f"WITH {TXN}, f AS (SELECT payee_vpa, min(us) AS us FROM txn WHERE label_typology = 'legit' GROUP BY 1), "
+    "dd AS (SELECT CAST(floor((us - (SELECT min(us) FROM txn)) / 86400000000.0) AS BIGINT) AS day FROM f), "
+    "n AS (SELECT (day - 1) // 4 AS w, count(*) AS c FROM dd WHERE day >= 1 AND day < 30 GROUP BY 1) "
+    "SELECT i AS \"window\", i * 4 + 1 AS first_day, least(i * 4 + 4, 29) AS last_day, coalesce(c, 0) AS new_payees "
+    "FROM range(0, 8) x(i) LEFT JOIN n ON n.w = x.i")
+
 # --- cost policy ----------------------------------------------------------------
 COST = ("CASE WHEN {fraud} THEN CASE WHEN {a} = 'ALLOW' THEN amount ELSE -amount END "
         "WHEN {a} = 'WARN' THEN 40.0 WHEN {a} = 'REVIEW' THEN 150.0 WHEN {a} = 'BLOCK' THEN 500.0 ELSE 0.0 END")

@@ -227,8 +227,10 @@ def since(features: DataFrame, start) -> DataFrame:
     return features.where(F.col("ts") >= F.lit(start))
 
 
-def cold_flags(events: DataFrame, cold_below: int = COLD_BELOW) -> DataFrame:
-    rows = events.withColumn("us", C.micros("ts"))
-    return reads(rows, "payee", ["payee_n"]).select("txn_id", (F.col("payee_n") < cold_below).alias("is_cold"))
-
-
+def cold_flags(events: DataFrame, cold_below: int = COLD_BELOW, hot: dict[str, list] | None = None) -> DataFrame:
+    hot = hot_keys(events, ("payee_vpa",)) if hot is None else hot
+    rows, flag = events.withColumn("us", C.micros("ts")), None
+    if hot.get("payee_vpa"):
+        flag = "hot_payee_vpa"
+        rows = settle(flag_hot(rows, "payee_vpa", hot["payee_vpa"], flag), flag)
+    return reads(rows, "payee", ["payee_n"], flag).select("txn_id", (F.col("payee_n") < cold_below).alias("is_cold"))

@@ -23,7 +23,7 @@ SHORT = 256             # bins of at most this many rows are searched as lists
 _SHIFT = 128            # room for the bin number in the path; at most nine rounds
 
 
-def split_median(rows: DataFrame, key: str, value: str, window: int, out: str, hot: str,
+def split_median(rows: DataFrame, key: str, value: str, window: int | None, out: str, hot: str,
                  width: int = HOUR, fan: int = FAN, short: int = SHORT) -> DataFrame:
     """`sliding_median` for rows of which some keys are flagged `hot`."""
     cold = rows.where(~F.col(hot)).repartition(key).sortWithinPartitions(key, "us")
@@ -33,11 +33,13 @@ def split_median(rows: DataFrame, key: str, value: str, window: int, out: str, h
         big.join(found.withColumnRenamed("median", out), "txn_id", "left"))
 
 
-def _counted(rows: DataFrame, group: list[str], changes: dict[str, Column], window: int, width: int) -> DataFrame:
+def _counted(rows: DataFrame, group: list[str], changes: dict[str, Column], window: int | None, width: int) -> DataFrame:
     """Counts inside the window before each row; probes do not count."""
     real = ~F.col("is_probe")
-    return running(rows.withColumn("_hot", F.lit(True)), group, [Track(n) for n in changes],
-                   [Move(0, changes, real), Move(window, {n: -c for n, c in changes.items()}, real)], "_hot", width)
+    moves = [Move(0, changes, real)]
+    if window is not None:
+        moves.append(Move(window, {n: -c for n, c in changes.items()}, real))
+    return running(rows.withColumn("_hot", F.lit(True)), group, [Track(n) for n in changes], moves, "_hot", width)
 
 
 def _find(counts: list[str], k: Column) -> Column:
@@ -54,9 +56,10 @@ def _find(counts: list[str], k: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(counts) - 1)), start, step)
 
 
-def hot_median(rows: DataFrame, key: str, value: str, window: int, width: int = HOUR,
+def hot_median(rows: DataFrame, key: str, value: str, window: int | None, width: int = HOUR,
                fan: int = FAN, short: int = SHORT) -> DataFrame:
-    """(txn_id, median) over [us - window, us) for every row that has one."""
+    """(txn_id, median) over [us - window, us), all time without a window, for
+    every row that has one. A row without a value only asks."""
     group = [key, "path"]
     sized = _counted(rows.withColumn("is_probe", F.col(value).isNull()), [key],
                      {"n": F.lit(1)}, window, width).where("n > 0")
@@ -92,6 +95,7 @@ def hot_median(rows: DataFrame, key: str, value: str, window: int, width: int =
             key, (F.col("path") * _SHIFT + F.col("bin") + 1).alias("path"), "us", "x").join(
             ask.select(*group).distinct(), group, "left_semi"))
     lists = data.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("x", "us"))).alias("l"))      # at most `short`
-    inside = F.filter("l", lambda e: (e["us"] >= F.col("us") - window) & (e["us"] < F.col("us")))
+    low = F.lit(-(1 << 62)) if window is None else F.col("us") - window
+    inside = F.filter("l", lambda e: (e["us"] >= low) & (e["us"] < F.col("us")))
     answers.append(ask.join(lists, group).select("txn_id", inside[F.col("k").cast("int")]["x"].alias("x")))
     return reduce(DataFrame.unionByName, answers).groupBy("txn_id").agg(F.avg("x").alias("median"))

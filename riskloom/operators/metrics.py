@@ -12,7 +12,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import cuts, piece, running_totals, smallest
+from .ranking import cuts, percentiles, piece, running_totals, smallest
 
 ALERT_RATES = (0.01, 0.02, 0.05)
 
@@ -250,3 +250,25 @@ def score_only(df: DataFrame, score="score", label="label") -> DataFrame:
     return alert_metrics(df, score=score, label=label).crossJoin(F.broadcast(rank_metrics(df, score=score, label=label)))
 
 
+
+
+def rolling_payers_by_class(events: DataFrame, per_payee: DataFrame) -> DataFrame:
+    """Median and 95th percentile of the payees' largest rolling fan-in, for
+    payees seen in mule fan-in rows and for payees seen in genuine rows."""
+    classes = events.where(F.col("label_typology").isin("MULE_FANIN", "legit")).select(
+        "payee_vpa", F.col("label_typology").alias("class")).distinct()
+    return percentiles(classes.join(per_payee, "payee_vpa"), "most_payers", {"median": 0.5, "p95": 0.95}, ("class",))
+
+
+def new_payees_by_window(events: DataFrame, days: int, size: int = 10) -> DataFrame:
+    """Genuine payees by the window of days (from day 1) of their first
+    appearance; windows without any are kept with 0."""
+    first = events.where("label_typology = 'legit'").groupBy("payee_vpa").agg(F.min("ts").alias("first_ts"))
+    start = events.agg(F.min("ts").alias("_start"))
+    day = F.floor((F.unix_micros("first_ts") - F.unix_micros("_start")) / 86_400_000_000)
+    got = first.crossJoin(F.broadcast(start)).select(day.alias("day")).where((F.col("day") >= 1) & (F.col("day") < days))
+    got = got.groupBy(F.floor((F.col("day") - 1) / size).alias("window")).agg(F.count("*").alias("new_payees"))
+    count = max(1, -(-(days - 1) // size))
+    every = events.sparkSession.range(count).select(F.col("id").alias("window"), (F.col("id") * size + 1).alias("first_day"),
+                                                    F.least(F.col("id") * size + size, F.lit(days - 1)).alias("last_day"))
+    return every.join(got, "window", "left").fillna(0, ["new_payees"])
