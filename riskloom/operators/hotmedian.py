@@ -60,15 +60,16 @@ def hot_median(rows: DataFrame, key: str, value: str, window: int | None, width:
                fan: int = FAN, short: int = SHORT) -> DataFrame:
     """(txn_id, median) over [us - window, us), all time without a window, for
     every row that has one. A row without a value only asks."""
-    group = [key, "path"]
-    sized = _counted(rows.withColumn("is_probe", F.col(value).isNull()), [key],
+    rows = rows.withColumnRenamed(key, "_key")
+    group = ["_key", "path"]
+    sized = _counted(rows.withColumn("is_probe", F.col(value).isNull()), ["_key"],
                      {"n": F.lit(1)}, window, width).where("n > 0")
     n = F.col("n")
     ask = materialize(sized.select(
-        key, F.lit(0).cast("long").alias("path"), "us", "txn_id",
+        "_key", F.lit(0).cast("long").alias("path"), "us", "txn_id",
         F.explode(F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))).alias("k")))
     data = materialize(rows.where(F.col(value).isNotNull()).select(
-        key, F.lit(0).cast("long").alias("path"), "us", F.col(value).alias("x")))
+        "_key", F.lit(0).cast("long").alias("path"), "us", F.col(value).alias("x")))
     answers = []
     while True:
         top = data.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
@@ -90,9 +91,9 @@ def hot_median(rows: DataFrame, key: str, value: str, window: int | None, width:
                        .select("txn_id", "x"))
         deeper = F.col("path") * _SHIFT + F.col("f.bin") + 1
         ask = materialize(read.where("f.bin % 2 = 0").select(
-            key, deeper.alias("path"), "us", "txn_id", F.col("f.left").alias("k")))
+            "_key", deeper.alias("path"), "us", "txn_id", F.col("f.left").alias("k")))
         data = materialize(data.where("bin % 2 = 0").select(
-            key, (F.col("path") * _SHIFT + F.col("bin") + 1).alias("path"), "us", "x").join(
+            "_key", (F.col("path") * _SHIFT + F.col("bin") + 1).alias("path"), "us", "x").join(
             ask.select(*group).distinct(), group, "left_semi"))
     lists = data.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("x", "us"))).alias("l"))      # at most `short`
     low = F.lit(-(1 << 62)) if window is None else F.col("us") - window
