@@ -14,6 +14,7 @@ from ..operators import history as h
 from ..operators import metrics as mx
 from ..operators import monitor as mo
 from ..operators import thresholds as th
+from ..plans import reports
 from ..session import materialize
 from ..sources import testviews as views
 from .history import features_sql
@@ -417,7 +418,7 @@ add("score_drift_ks", lambda sp, d: dr.score_drift(*[s.withColumnRenamed("amount
     "FROM m, range(1, 101) x(j)) "
     f"SELECT {big('nr')} AS n_reference, {big('nc')} AS n_recent, {r('d')} AS ks_statistic, "
     f"{r('greatest(0, least(1, pv))')} AS ks_pvalue, pv < 0.05 AS significant_drift FROM m, p")
-CAL = (f"{L}, cases AS (SELECT d.risk_score AS score, (rl.disposition = 'CONFIRMED_FRAUD')::INT AS hit FROM decisions d "
+CAL_TAIL = ("cases AS (SELECT d.risk_score AS score, (rl.disposition = 'CONFIRMED_FRAUD')::INT AS hit FROM decisions d "
        "JOIN review_labels rl ON rl.decision_id = d.id WHERE d.scored_at >= TIMESTAMP '1996-01-01' AND rl.disposition <> 'UNCLEAR'), "
        "e AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM cases), "
        "b AS (SELECT len(list_filter(e[2:-2], lambda x: x <= score)) AS bin, count(*) AS n, avg(score) AS s, avg(hit) AS h "
@@ -428,6 +429,9 @@ def _cal(sp, d):
     return dr.reviewed_calibration(views.decisions(sp, d), views.review_labels(sp, d), "1996-01-01")
 
 
+CAL = f"{L}, {CAL_TAIL}"
+
+
 add("calibration_drift_on_reviewed", _cal,
     f"{CAL} SELECT {big('bin')} AS bin, n, {r('s')} AS mean_predicted_score, {r('h')} AS empirical_fraud_rate FROM b")
 add("calibration_gap_on_reviewed", lambda sp, d: dr.calibration_gap(_cal(sp, d)),
@@ -469,3 +473,35 @@ AUC_SQL = (f"{F_SQL}, t AS MATERIALIZED (SELECT * FROM x WHERE {_fref}), {_long(
 add("single_feature_auc", lambda sp, d: mx.feature_auc(
     _feature_sides(sp, d)[0].withColumn("label", F.col("label_is_fraud").cast("int")).drop("label_is_fraud"),
     FEATURE_NUMERIC, list(CATEGORICAL)), AUC_SQL + f"SELECT feature, {r('auc')} AS auc, auc > 0.85 AS leaks FROM b")
+
+
+# --- whole reports -----------------------------------------------------------------
+def _monitoring(sp, d):
+    return reports.monitoring_table(views.decisions(sp, d), views.review_labels(sp, d))
+
+
+add("monitoring_report", _monitoring,
+    f"{L}, {PENDING}, m AS (SELECT 'action_mix' AS section, action AS item, CAST(count(*) AS DOUBLE) AS value FROM decisions GROUP BY action "
+    "UNION ALL SELECT 'alert_rate', strftime(scored_at, '%Y-%m-%d'), 100.0 * count(*) FILTER (WHERE action <> 'ALLOW') / count(*) FROM decisions GROUP BY 2 "
+    "UNION ALL SELECT 'score_histogram', CAST(CAST(floor(risk_score * 20) AS BIGINT) + 1 AS VARCHAR), count(*) FROM decisions GROUP BY 2 "
+    "UNION ALL SELECT 'latency_p95', source, quantile_cont(latency_ms, 0.95) FROM decisions GROUP BY source "
+    "UNION ALL SELECT 'queue', 'depth', count(*) FROM pending UNION ALL SELECT 'queue', 'median_age_seconds', quantile_cont(age, 0.5) FROM pending "
+    "UNION ALL SELECT 'precision', 'reviewed_pct', 100.0 * count(*) FILTER (WHERE disposition = 'CONFIRMED_FRAUD') / count(*) FROM review_labels) "
+    f"SELECT section, item, {r('value', 1)} AS value FROM m", 1)
+
+
+def _drift_report(sp, d):
+    reference, current = _sides(sp, d)
+    parts = reports.drift_report(reference, current, NUMERIC, ["source"], views.decisions(sp, d), views.review_labels(sp, d),
+                                 "1996-01-01", score="risk_score")
+    return reports.drift_table(parts)
+
+
+add("drift_report", _drift_report,
+    f"{PSI_SQL}, {CATS}, {CAT_TAIL}, {LABELS}, {CAL_TAIL}, t AS (SELECT 'feature' AS section, feature AS item, psi AS value FROM every_ "
+    "UNION ALL SELECT 'feature', 'source', psi FROM catpsi UNION ALL SELECT 'calibration', 'mean_abs_error', avg(abs(s - h)) FROM b "
+    f"UNION ALL SELECT 'recent', 'n', count(*) FROM x WHERE NOT ({_ref}) "
+    "UNION ALL SELECT 'score', 'ks_statistic', max(abs(f - h)) FROM (SELECT sum(r) OVER (ORDER BY v) / sum(r) OVER () AS f, "
+    "sum(c) OVER (ORDER BY v) / sum(c) OVER () AS h FROM (SELECT risk_score AS v, "
+    f"count(*) FILTER (WHERE {_ref}) AS r, count(*) FILTER (WHERE NOT ({_ref})) AS c FROM x GROUP BY 1) g) k) "
+    f"SELECT section, item, {r('value')} AS value FROM t")

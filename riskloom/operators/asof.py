@@ -59,33 +59,24 @@ def running(df: DataFrame, key: list[str], tracks: list[Track], moves: list[Move
 
     The first move must be the row itself (`after=0`)."""
     payload = [c for c in df.columns if c not in key and c != "us"]
-    steps = df.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(moves))])).alias(_STEP))
-    keep = F.col(_STEP) == 0
-    for i, m in enumerate(moves[1:], 1):
-        keep |= (F.col(_STEP) == i) & (m.where if m.where is not None else F.lit(True))
-    if len(moves) > 1:
-        steps = steps.where(keep)
-    else:
-        steps = df.withColumn(_STEP, F.lit(0))
-
-    def change(t: Track) -> Column:
-        out = None
-        for i, m in enumerate(moves):
-            if t.name in m.changes:
-                hit = F.col(_STEP) == i
-                if i == 0 and m.where is not None:
-                    hit &= m.where
-                value = m.changes[t.name].cast(t.dtype)
-                out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out
-
-    after = F.element_at(F.array(*[F.lit(m.after).cast("long") for m in moves]), F.col(_STEP) + 1)
-    own = F.col(_STEP) == 0
-    rows = steps.select(
-        *key, (F.col("us") + after).alias(_AT), _STEP,
-        *[F.when(own, F.col(c)).alias(c) for c in payload if c != hot],
-        *([hot] if hot else []),
-        *[change(t).alias("~" + t.name) for t in tracks])
+    # Changes are worked out once per row, before the row is repeated per move.
+    values = {(i, n): c for i, m in enumerate(moves) for n, c in m.changes.items()}
+    kinds = {t.name: t.dtype for t in tracks}
+    held = [(F.when(moves[i].where, c) if i == 0 and moves[0].where is not None else c)
+            .cast(kinds[n]).alias(f"~{i}{n}") for (i, n), c in values.items()]
+    # Which moves a row makes; the first is the row itself.
+    made = [F.lit(0)] + [F.lit(i) if m.where is None else F.when(m.where, i) for i, m in enumerate(moves[1:], 1)]
+    steps = df.select("*", *held, F.explode(F.array_compact(F.array(*made))).alias(_STEP))
+
+    def change(t: Track) -> str:
+        picks = [f"WHEN {i} THEN `~{i}{t.name}`" for i in range(len(moves)) if (i, t.name) in values]
+        return f"CASE {_STEP} {' '.join(picks)} END AS `~{t.name}`"
+
+    lags = " ".join(f"WHEN {i} THEN {m.after}L" for i, m in enumerate(moves))
+    rows = steps.selectExpr(
+        *[f"`{k}`" for k in key], f"us + CASE {_STEP} {lags} END AS {_AT}", _STEP,
+        *[f"CASE {_STEP} WHEN 0 THEN `{c}` END AS `{c}`" for c in payload if c != hot],
+        *([hot] if hot else []), *[change(t) for t in tracks])
     part = list(key)
     if hot:
         part.append(_SLICE)

@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # generated methods beyond this size are never compiled by the JVM; split them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # no call-site capture per Column call: plans here are built from many
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
