@@ -195,7 +195,7 @@ _FLOATS = {"amount_log", "amount_zscore_vs_payer_30d", "amount_ratio_to_payer_me
            "payee_amount_mean", "payee_amount_std", "payee_p2m_ratio", "days_since_payer_last_paid_payee"}
 
 
-def _values(names: list[str]) -> str:
+def _values(names: list[str], digits: int = 6) -> str:
     out = []
     for n in names:
         base = n.removesuffix(MISSING)
@@ -203,7 +203,7 @@ def _values(names: list[str]) -> str:
         if n != base:
             out.append(f"({e}) IS NULL AS {n}")
         else:
-            out.append(f"{r(e) if n in _FLOATS else f'({e})'} AS {n}")
+            out.append(f"{r(e, digits) if n in _FLOATS else f'({e})'} AS {n}")
     return ", ".join(out)
 
 
@@ -213,8 +213,8 @@ def features_cte(source: str = TXN) -> str:
             f"(atan2(ss, cc) / (2 * pi()) * 24 + 48) % 24 AS hh FROM wide w JOIN handles hd USING (payee_vpa))")
 
 
-def features_sql(names: list[str], source: str = TXN, extra: str = "") -> str:
-    return f"WITH {features_cte(source)} SELECT txn_id, {extra}{_values(names)} FROM feats"
+def features_sql(names: list[str], source: str = TXN, extra: str = "", digits: int = 6) -> str:
+    return f"WITH {features_cte(source)} SELECT txn_id, {extra}{_values(names, digits)} FROM feats"
 
 
 def _group(letter: str) -> list[str]:
@@ -225,9 +225,9 @@ def _group(letter: str) -> list[str]:
     return out
 
 
-def _features(names, view=views.txn, extra=()):
+def _features(names, view=views.txn, extra=(), digits=6):
     def run(spark, d):
-        return tidy(feats.point_in_time(view(spark, d)).select("txn_id", *extra, *names))
+        return tidy(feats.point_in_time(view(spark, d)).select("txn_id", *extra, *names), digits)
     return run
 
 
@@ -254,10 +254,10 @@ def _register():
               "features_payee_record": "D", "features_device": "E"}
     for name, g in groups.items():
         q[name], s[name] = _features(_group(g)), features_sql(_group(g))
-    q["features_payer_ties"] = _features(_group("B"), views.txn_ties)
-    s["features_payer_ties"] = features_sql(_group("B"), TIES)
-    q["features_payee_record_ties"] = _features(_group("D"), views.txn_ties)
-    s["features_payee_record_ties"] = features_sql(_group("D"), TIES)
+    q["features_payer_ties"] = _features(_group("B"), views.txn_ties, digits=3)
+    s["features_payer_ties"] = features_sql(_group("B"), TIES, digits=3)
+    q["features_payee_record_ties"] = _features(_group("D"), views.txn_ties, digits=3)
+    s["features_payee_record_ties"] = features_sql(_group("D"), TIES, digits=3)
     cold = "yn < 3 AS is_cold, "
     q["feature_table"] = _features(ALL_FEATURES, extra=("is_cold",))
     s["feature_table"] = features_sql(ALL_FEATURES, extra=cold)

