@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pieces, simhash
+from . import decontam, langid, linededup, pieces, quality, simhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -34,6 +34,11 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_language_id(spark, sf_dir):
     docs = langid.split(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = langid.fit(docs.filter("not held_out"))
@@ -41,7 +46,7 @@ def op9_language_id(spark, sf_dir):
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash,
-           "op5_sentencepiece": op5_sentencepiece, "op9_language_id": op9_language_id}
+           "op5_sentencepiece": op5_sentencepiece, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
 
 SQL = {
     "op1_line_dedup": f"""
