@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pieces, quality, simhash
+from . import decontam, katz, langid, linededup, pieces, quality, simhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -30,6 +30,11 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_katz(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("held_out", katz.held_out_of(F.col("doc_id"))))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op9_language_id(spark, sf_dir):
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash,
-           "op5_sentencepiece": op5_sentencepiece, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
+           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
 
 SQL = {
     "op1_line_dedup": f"""
