@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, linededup, pieces, quality, simhash
+from . import decontam, katz, langid, linededup, pieces, quality, simhash, substring
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -39,6 +39,10 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_report(table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark, sf_dir):
+    return substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op8_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -51,9 +55,24 @@ def op9_language_id(spark, sf_dir):
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash,
-           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
+           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op6_substring": op6_substring, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
 
 SQL = {
+    "op6_substring": f"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM dw WHERE len(w) >= 20)),
+late AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM late),
+one AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM dw),
+kept AS (
+  SELECT one.doc_id, string_agg(x, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS s, count(gone.q) AS n
+  FROM one LEFT JOIN gone USING (doc_id, q) GROUP BY one.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)""",
     "op1_line_dedup": f"""
 WITH raw AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
