@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, linededup, pieces, quality, simhash, substring
+from . import decontam, katz, langid, linededup, pieces, quality, revisit, secrets, simhash, substring
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -43,6 +43,12 @@ def op6_substring(spark, sf_dir):
     return substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op7_revisits(spark, sf_dir):
+    out = revisit.resolve(revisit.captures(table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return out.withColumn("headers", listed).withColumn("status", F.col("status").cast("long"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -54,10 +60,43 @@ def op9_language_id(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.known_findings())
+    return found.withColumn("found_sha256", F.sha2("found", 256)).drop("found")
+
+
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash,
-           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op6_substring": op6_substring, "op8_quality": op8_quality, "op9_language_id": op9_language_id}
+           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op6_substring": op6_substring, "op7_revisits": op7_revisits, "op8_quality": op8_quality, "op9_language_id": op9_language_id, "op10_secrets": op10_secrets}
 
 SQL = {
+    "op7_revisits": f"""
+WITH raw AS ({revisit.CAPTURES.format(pages="pages")}),
+cut AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS v FROM raw),
+split AS (
+  SELECT *, lower(regexp_extract(v, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(v, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(v, '\\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM cut),
+rec AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)$', ''), '^(www|m)\\.', '') || path
+    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM split),
+pair AS (
+  SELECT r.*, f.record_id AS response_id, f.etag AS f_etag, f.last_modified AS f_lm, f.digest AS f_digest, f.size AS f_size,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY f.seen_at DESC NULLS LAST, f.record_id DESC NULLS LAST) AS k
+  FROM rec r LEFT JOIN rec f ON f.u = r.u AND f.type = 'response' AND f.status = 200 AND (f.seen_at, f.record_id) < (r.seen_at, r.record_id)
+  WHERE r.type = 'revisit'),
+judged AS (
+  SELECT *, CASE WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = regexp_replace(f_etag, '^W/', '')
+      WHEN last_modified IS NOT NULL AND f_lm IS NOT NULL THEN last_modified = f_lm
+      WHEN digest IS NOT NULL AND f_digest IS NOT NULL THEN digest = f_digest END AS same
+  FROM pair WHERE k = 1),
+named AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no earlier response' WHEN same IS NULL THEN 'unvalidated'
+    WHEN same THEN 'resolved' ELSE 'changed' END AS outcome FROM judged)
+SELECT record_id, u AS canonical_url, outcome, response_id, CAST(CASE WHEN outcome = 'resolved' THEN 200 END AS BIGINT) AS status,
+  CASE WHEN outcome = 'resolved' THEN f_digest END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: ' || cache || '; content-length: ' || f_size || '; date: ' || CAST(seen_at AS VARCHAR)
+    || CASE WHEN coalesce(etag, f_etag) IS NOT NULL THEN '; etag: ' || coalesce(etag, f_etag) ELSE '' END END AS headers
+FROM named""",
     "op6_substring": f"""
 WITH dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
