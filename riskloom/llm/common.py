@@ -22,7 +22,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}-{name}"
     schema = df.schema
+    release(spark)
     df.write.parquet(path)
+    del df                              # the last hold on its plan, and so on its shuffle files
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
