@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MASK = (1 << 64) - 1
 #: Characters of segmented parts that one Python worker remembers before it starts anew, and documents taken at once.
-REMEMBERED, AT_ONCE = 3_000_000, 500
+REMEMBERED, AT_ONCE = 1_500_000, 500
 
 
 def load(path: str = MODEL) -> dict:
@@ -304,45 +304,45 @@ def _each(coder, texts, places):
             yield None if x is None else next(coded)
 
 
-def _encode(held, at, id_at, digest, *how):
+def _encode(held, at, id_at, want, *how):
+    """want: which of ids, size, sha (of the ids), same (they decode to the text) to add."""
     def run(batches):
         coder = _encoder(held, *how)
-        for b in batches:
-            ids, shas, same = [], [], []
-            texts, places = b.column(at).to_pylist(), [_place(doc) for doc in b.column(id_at).to_pylist()]
-            for x, text in zip(_each(coder, texts, places), texts):
-                if digest:
-                    ids.append(None if x is None else len(x))
-                    shas.append(None if x is None else hashlib.sha256(x.tobytes()).hexdigest())
-                    same.append(None if x is None else coder.decode(x.tolist()) == text)
-                else:
-                    ids.append(x)
-            new = [pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(same, pa.bool_())] if digest else [pa.array(ids, pa.list_(pa.int32()))]
-            names = ["__pieces", "__sha", "__same"] if digest else ["__ids"]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                texts = b.column(at).to_pylist()
+                coded = list(_each(coder, texts, [_place(doc) for doc in b.column(id_at).to_pylist()]))
+                made = {
+                    "ids": lambda: pa.array(coded, pa.list_(pa.int32())),
+                    "size": lambda: pa.array([None if x is None else len(x) for x in coded], pa.int64()),
+                    "sha": lambda: pa.array([None if x is None else hashlib.sha256(x.tobytes()).hexdigest() for x in coded], pa.string()),
+                    "same": lambda: pa.array([None if x is None else coder.decode(x.tolist()) == t for x, t in zip(coded, texts)], pa.bool_())}
+                yield pa.RecordBatch.from_arrays([*b.columns, *[made[w]() for w in want]], names=[*b.schema.names, *[f"__{w}" for w in want]])
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42, streams: int = 4,
-           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`docs` with ids, the piece ids of the whole text."""
+KINDS = {"ids": T.ArrayType(T.IntegerType()), "size": T.LongType(), "sha": T.StringType(), "same": T.BooleanType()}
+
+
+def _coded(docs, path, dropout, seed, streams, text_col, id_col, want):
     ship(__name__)
     held = docs.sparkSession.sparkContext.broadcast(load(path))
-    at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
-    out = docs.mapInArrow(_encode(held, at, id_at, False, dropout, seed, streams), schema)
-    return out.withColumn("ids", F.col("__ids")).drop("__ids")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{w}", KINDS[w]) for w in want]])
+    return docs.mapInArrow(_encode(held, docs.columns.index(text_col), docs.columns.index(id_col), want, dropout, seed, streams), schema)
+
+
+def encode(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42, streams: int = 4,
+           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """`docs` with ids, the piece ids of the whole text, and lossless: whether they decode to it."""
+    out = _coded(docs, path, dropout, seed, streams, text_col, id_col, ("ids", "same"))
+    return out.withColumns({"ids": F.col("__ids"), "lossless": F.col("__same")}).drop("__ids", "__same")
 
 
 def encode_report(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42, streams: int = 4) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and lossless (they decode to the text)."""
-    ship(__name__)
-    held = docs.sparkSession.sparkContext.broadcast(load(path))
-    rows = docs.select("doc_id", "text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("__pieces", T.LongType()), T.StructField("__sha", T.StringType()),
-                           T.StructField("__same", T.BooleanType())])
-    out = rows.mapInArrow(_encode(held, 1, 0, True, dropout, seed, streams), schema)
-    return out.select("doc_id", F.col("__pieces").alias("n_pieces"), F.col("__sha").alias("ids_sha256"), F.col("__same").alias("lossless"))
+    out = _coded(docs.select("doc_id", "text"), path, dropout, seed, streams, "text", "doc_id", ("size", "sha", "same"))
+    return out.select("doc_id", F.col("__size").alias("n_pieces"), F.col("__sha").alias("ids_sha256"), F.col("__same").alias("lossless"))
 
 
 def _decode(held, at):
