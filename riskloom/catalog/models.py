@@ -150,14 +150,16 @@ add("stream_routing", lambda sp, d: stream_run(sp, d)[0].log.read().select("txn_
 add("stream_decisions", lambda sp, d: stream_run(sp, d)[0].log.read().select("txn_id", "action", "risk_score", "source"))
 add("stream_history", lambda sp, d: stream_run(sp, d)[0].history.read().select("txn_id", "ts", "amount"),
     f"WITH {TXN} SELECT txn_id, ts, {r('amount')} AS amount FROM txn")
-add("stream_dead_letters", lambda sp, d: scorer.read_dead_letters(sp, stream_run(sp, d)[0].dead_letters).groupBy("reason").agg(
+add("stream_dead_letters", lambda sp, d: scorer.read_dead_letters(sp, stream_run(sp, d)[0].dead_letters).groupBy("reason", "retries").agg(
     F.count("*").alias("n")),
     f"WITH {TXN}, t AS (SELECT CAST(substring(txn_id, 2) AS BIGINT) % 100 AS m FROM txn) "
     "SELECT CASE m WHEN 0 THEN 'not a JSON object' ELSE 'missing field: timestamp, payer_vpa, payee_vpa, amount, txn_type, "
-    "initiation_mode, device_id, payer_bank, payee_bank, payer_account_age_days, label_is_fraud' END AS reason, count(*) AS n "
+    "initiation_mode, device_id, payer_bank, payee_bank, payer_account_age_days, label_is_fraud' END AS reason, CAST(0 AS BIGINT) AS retries, count(*) AS n "
     "FROM t WHERE m < 2 GROUP BY 1")
 add("stream_action_counts", lambda sp, d: sp.read.schema("action string, n long").json(stream_run(sp, d)[0].stats).groupBy("action").agg(
     F.sum("n").alias("n")))
+add("stream_action_counts_total", lambda sp, d: sp.read.schema("action string, n long").json(stream_run(sp, d)[0].stats).agg(
+    F.sum("n").alias("n")), f"WITH {TXN} SELECT CAST(count(DISTINCT txn_id) AS BIGINT) AS n FROM txn")
 
 
 def _state(sp, d):

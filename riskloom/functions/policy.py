@@ -21,8 +21,9 @@ def _bound(thresholds: Thresholds, tier: str, is_cold: Column) -> Column:
 
 
 def _step(score: Column, bounds: list[Column], labels) -> Column:
+    """The label of the score's step; NULL where there is no score (NULL or NaN)."""
     return (F.when(score < bounds[0], labels[0]).when(score < bounds[1], labels[1])
-            .when(score < bounds[2], labels[2]).otherwise(labels[3]))
+            .when(score < bounds[2], labels[2]).when(score.isNotNull() & ~F.isnan(score.cast("double")), labels[3]))
 
 
 def risk_tier(score: Column, is_cold: Column, thresholds: Thresholds) -> Column:

@@ -44,9 +44,9 @@ def features_of(batch: DataFrame, history: DataFrame | None) -> DataFrame:
 
 
 def decisions(events: DataFrame, features: DataFrame, models, thresholds: policy.Thresholds, source: str,
-              scored_at, lib_version: str = "1", thresholds_version: str = "1") -> DataFrame:
+              scored_at, lib_version: str = "1", thresholds_version: str = "1", batch: str | None = None) -> DataFrame:
     """Decision rows: event and feature snapshot as structs, scores, action,
-    reasons (alerts only) and versions."""
+    reasons (alerts only), versions and the micro-batch that made them."""
     scored = materialize(md.score(features, models, thresholds, thresholds_version))
     codes = md.reason_codes(scored, models)
     event = F.struct(*[F.col(c) for c in EVENT.names if c in events.columns])
@@ -58,7 +58,8 @@ def decisions(events: DataFrame, features: DataFrame, models, thresholds: policy
         "txn_id", "event", "feature_snapshot", "risk_score", "raw_score", "is_cold", "action", "risk_tier",
         F.coalesce("reason_codes", F.array().cast(_NO_CODES)).alias("reason_codes"), "model_version",
         "thresholds_version", F.lit(lib_version).alias("feature_lib_version"), F.lit(0.0).alias("latency_ms"),
-        F.lit(scored_at).cast("timestamp").alias("scored_at"), F.lit(source).alias("source"))
+        F.lit(scored_at).cast("timestamp").alias("scored_at"), F.lit(source).alias("source"),
+        F.lit(batch).cast("string").alias("batch"))
 
 
 def replay(events: DataFrame, models, thresholds: policy.Thresholds, log: DecisionLog | None, scored_at,

@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # no call-site capture per Column call: plans here are built from many
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # a checkpoint goes when nothing refers to it any more; streams make some per micro-batch
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,11 +37,15 @@ def build(master: str | None = None, **extra) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` as the cluster
-    sets it; only where nothing is set (tests) a new one is made."""
+    sets it. Where nothing is set, a new one is made on a local master only;
+    elsewhere executors would not find each other's files."""
     sc = spark.sparkContext
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-ckpt-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not wanted and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+    return wanted or sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession) -> str:

@@ -24,10 +24,21 @@ class AppendOnly:
         self.spark, self.path, self.grain = spark, path, grain
 
     def read(self) -> DataFrame | None:
+        """The table, or None before the first append. A folder whose first
+        append broke off holds neither data nor the marker of a finished
+        write; one that was emptied later, or cannot be read, is an error."""
         try:
             return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return None
+        except AnalysisException as error:
+            kind = error.getCondition()
+            if kind == "PATH_NOT_FOUND" or kind == "UNABLE_TO_INFER_SCHEMA" and not self._written():
+                return None
+            raise
+
+    def _written(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(self.path, "_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
     def new_rows(self, batch: DataFrame) -> DataFrame:
         """The batch without repeats and without keys that are already stored."""
@@ -45,6 +56,8 @@ class AppendOnly:
         return first.join(known, "txn_id", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
+        if batch.isEmpty():
+            return
         rows = self.new_rows(batch).withColumn("period", F.to_date(F.date_trunc(self.grain, self.day_of)))
         # rebalance splits large periods over tasks and gathers small ones
         rows.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(self.path)

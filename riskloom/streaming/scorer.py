@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import policy
+from ..functions.columns import AMOUNT
 from ..operators.features import first_per_txn
 from ..operators.validate import split_events
 from ..plans.scoring import decisions, features_of
 from ..session import materialize
 from ..sources.decision_log import DecisionLog, EventHistory
+from ..sources.events import encode
 
-MAX_RETRIES = 3
+
+def _told(events: DataFrame, reason: str) -> DataFrame:
+    return events.select(encode().alias("event"), F.lit(reason).alias("reason"))
 
 
 class Scorer:
@@ -35,33 +39,41 @@ class Scorer:
         self.dead_letters, self.stats, self.source, self.now = dead_letters, stats, source, now
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
+        """Rows that cannot be scored are set aside one by one. Any other error
+        goes up and fails the query: nothing is lost, since the checkpoint
+        starts the same batch again."""
         messages = materialize(batch.select("event"))
         good, bad = split_events(messages, labels=True)
-        self._bury(bad.withColumn("retries", F.lit(0)), batch_id, "rejected")
-        for attempt in range(1, MAX_RETRIES + 1):
-            try:
-                return self._score(good, batch_id)
-            except Exception as error:      # after the last try the messages are kept aside
-                if attempt == MAX_RETRIES:
-                    self._bury(messages.withColumn("reason", F.lit(str(error)[:500])).withColumn(
-                        "retries", F.lit(attempt)), batch_id, "failed")
+        self._bury(bad, batch_id, "rejected")
+        fits = F.col("amount").try_cast(AMOUNT).isNotNull()      # also keeps NaN out of the sums other rows read
+        self._bury(_told(good.where(~fits), "amount out of range"), batch_id, "out_of_range")
+        self._score(good.where(fits), batch_id)
 
     def _score(self, good: DataFrame, batch_id: int) -> None:
         events = materialize(first_per_txn(good))
+        run = events.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        name = f"{run}/{batch_id}"
         stored = self.log.read()
         fresh = events if stored is None else events.join(
             self.log.new_rows(events.withColumn("scored_at", F.col("ts"))).select("txn_id"), "txn_id", "left_semi")
         out = materialize(decisions(fresh, features_of(fresh, self.history.read()), self.models, self.thresholds,
-                                    self.source, self.now()))
-        self.log.append(out)
-        self.history.append(events)
+                                    self.source, self.now(), batch=name))
+        scored = F.col("action").isNotNull()
+        unscored = out.where(~scored).select("event.*")
+        self._bury(_told(unscored, "no score"), batch_id, "unscored")
+        self.log.append(out.where(scored))
+        self.history.append(events.join(unscored.select("txn_id"), "txn_id", "left_anti"))
         if self.stats:
-            out.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").json(
-                f"{self.stats}/batch_id={batch_id}")
+            # counted from the log, so a batch that is repeated after the log was written counts the same rows
+            logged = self.log.read()
+            logged = out.where(scored) if logged is None else logged      # nothing was ever scored
+            logged.where(F.col("batch") == name).groupBy("action").agg(F.count("*").alias("n")).write.mode(
+                "overwrite").json(f"{self.stats}/batch_id={batch_id}")
 
     def _bury(self, rows: DataFrame, batch_id: int, kind: str) -> None:
         # overwriting the batch's own folder keeps a repeated batch from doubling it
-        rows.write.mode("overwrite").json(f"{self.dead_letters}/batch_id={batch_id}/{kind}")
+        rows.withColumn("retries", F.lit(0)).write.mode("overwrite").json(
+            f"{self.dead_letters}/batch_id={batch_id}/{kind}")
 
     def start(self, messages: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = messages.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)

@@ -2,8 +2,10 @@ import json
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from riskloom.functions import policy
 from riskloom.functions.registry import ALL_FEATURES
 from riskloom.operators import explore as ex
 from riskloom.operators import features as ft
@@ -150,11 +152,68 @@ def test_stream_equals_batch_with_broken_repeated_and_restarted_messages(spark,
     assert [(r.event, r.reason) for r in dead] == [("not-valid-json", "not a JSON object")]
 
 
-def test_failing_batches_are_kept_after_three_tries(spark, events, tmp_path):
+def stream_parts(spark, fitted, base):
+    return scorer.Scorer(dl.EventHistory(spark, f"{base}/h", "month"), dl.DecisionLog(spark, f"{base}/l", "month"), fitted.models, LOW,
+                         f"{base}/dead", f"{base}/stats", now=lambda: NOW)
+
+
+def test_one_poison_row_leaves_all_other_decisions(spark, fitted, tmp_path):
+    txns = views.txn(spark, DATA)
+    one = txns.agg(F.min("txn_id")).first()[0]
+    bad = txns.withColumn("amount", F.when(F.col("txn_id") == one, 1e12).otherwise(F.col("amount")))
+    s = stream_parts(spark, fitted, tmp_path)
+    s.step(bad.select(ev.encode().alias("event")), 0)
+    assert s.log.read().count() == s.history.read().count() == txns.count() - 1
+    assert s.log.count(one) == 0
+    dead = scorer.read_dead_letters(spark, s.dead_letters).collect()
+    assert [(json.loads(r.event)["txn_id"], r.reason, r.retries) for r in dead] == [(one, "amount out of range", 0)]
+
+
+def test_a_lost_write_fails_the_batch_and_its_repeat_is_whole(spark, fitted, tmp_path):
+    s = stream_parts(spark, fitted, tmp_path)
+    batch = views.txn(spark, DATA).select(ev.encode().alias("event"))
+    append = s.history.append
+    s.history.append = lambda rows: (_ for _ in ()).throw(OSError("disk"))
+    with pytest.raises(OSError):
+        s.step(batch, 7)
+    assert scorer.read_dead_letters(spark, s.dead_letters).count() == 0
+    s.history.append = append
+    s.step(batch, 7)
+    n = views.txn(spark, DATA).count()
+    counts = spark.read.schema("action string, n long").json(s.stats)
+    assert s.log.read().count() == s.history.read().count() == counts.agg(F.sum("n")).first()[0] == n
+
+
+def test_a_first_batch_of_broken_messages_only(spark, fitted, tmp_path):
+    s = stream_parts(spark, fitted, tmp_path)
+    s.step(spark.createDataFrame([("nope",)], "event string"), 0)
+    assert s.log.read() is None and s.history.read() is None
+    good = views.txn(spark, DATA).where("txn_id like '%7'")
+    s.step(good.select(ev.encode().alias("event")), 1)
+    assert s.log.read().count() == good.count()
+
+
+def test_errors_of_the_plan_reach_the_query(spark, events, tmp_path):
     s = scorer.Scorer(dl.EventHistory(spark, f"{tmp_path}/h"), dl.DecisionLog(spark, f"{tmp_path}/l"), {}, LOW, f"{tmp_path}/dead")
-    s.step(events({}).select(ev.encode().alias("event")), 4)
-    r = scorer.read_dead_letters(spark, f"{tmp_path}/dead").first()
-    assert r.retries == 3 and "x0000" in r.event
+    with pytest.raises(KeyError):
+        s.step(events({}).select(ev.encode().alias("event")), 4)
+    assert scorer.read_dead_letters(spark, f"{tmp_path}/dead").count() == 0
+
+
+def test_only_a_table_never_written_reads_as_absent(spark, tmp_path):
+    log = dl.DecisionLog(spark, str(tmp_path / "log"))
+    assert log.read() is None
+    (tmp_path / "log").mkdir()
+    assert log.read() is None               # the first append broke off
+    (tmp_path / "log" / "_SUCCESS").touch()
+    with pytest.raises(AnalysisException):  # written once, emptied since
+        log.read()
+
+
+def test_no_score_gives_no_action(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.9,), (0.0,)], "s double")
+    got = df.select(policy.action(F.col("s"), F.lit(False), LOW)).collect()
+    assert [r[0] for r in got] == [None, None, "BLOCK", "ALLOW"]
 
 
 def test_over_sampling_and_split(spark):
