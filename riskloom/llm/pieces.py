@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MASK = (1 << 64) - 1
 #: Characters of segmented parts that one Python worker remembers before it starts anew, and documents taken at once.
-REMEMBERED, AT_ONCE = 1_500_000, 500
+REMEMBERED, AT_ONCE = 1_500_000, 250
 
 
 def load(path: str = MODEL) -> dict:
