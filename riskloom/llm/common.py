@@ -11,6 +11,7 @@ from ..session import scratch
 
 #: Stands for a NULL id inside the operators, so that it sorts below every other id and joins with itself.
 NO_ID = -(1 << 63)
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def partitions(spark: SparkSession) -> int:
@@ -35,6 +36,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Hand texts to Python workers in batches of about `size` bytes instead of 10,000 rows, whatever their length: a
+    batch is held several times over, on both sides of the pipe. A session that sets its own bound keeps it."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(size))
+
+
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """Id and text hash. Rows alike in both are copies of one row and get the same results, so the pair is a safe join
     key even where ids repeat."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z and non-ASCII into a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -193,6 +193,7 @@ def mark_hits(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str
     """`docs` with __n (words), the hit stretches __from and __to in word positions and the ids __items found."""
     ship(__name__)
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = None
     for k, block in enumerate(blocks := _blocks(items, item_id, item_text, block_words)):
         held = spark.sparkContext.broadcast({"items": [(r.i, r.x.encode()) for r in block.collect()]})

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .common import bounded_batches
 
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, RIDGE = 1500, 24, 1e-3
 #: Languages with fewer labelled rows than this are not learnt, nor more than so many languages (the most frequent).
@@ -99,6 +100,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """The model: landmark matrix, their sizes, one weight column per language. None if nothing can be learnt."""
     ship(__name__)
     spark = labelled.sparkSession
+    bounded_batches(spark)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = (rows.groupBy("lang").count().filter(F.col("count") >= LEAST_ROWS)
               .orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect())
@@ -159,6 +161,7 @@ def _predict(model, at):
 def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (0 to 1: the winning language's regression value, -1 to 1 scaled)."""
     ship(__name__)
+    bounded_batches(docs.sparkSession)
     held = None if model is None else docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     out = docs.mapInArrow(_predict(held, docs.columns.index(text_col)), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import doc_key, partitions, replaced, stored
+from .common import bounded_batches, doc_key, partitions, replaced, stored
 
 STRIP = b" \t\n\x0b\x0c\r"
 DECIDED, OPEN, WITNESS = 0, 1, 2
@@ -142,6 +142,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     """One row (d, t, lost, bitmap) for each document that loses lines: zlib-compressed bits in line order, 1 for a
     kept line; lines past the last bit are kept. d, t are the columns of `doc_key`."""
     ship(__name__)
+    bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     d, t = doc_key(id_col, text_col)
     lines = (docs.select(d.alias("d"), t.alias("t"), F.col(text_col).alias("text"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -327,6 +328,7 @@ KINDS = {"ids": T.ArrayType(T.IntegerType()), "size": T.LongType(), "sha": T.Str
 
 def _coded(docs, path, dropout, seed, streams, text_col, id_col, want):
     ship(__name__)
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load(path))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{w}", KINDS[w]) for w in want]])
     return docs.mapInArrow(_encode(held, docs.columns.index(text_col), docs.columns.index(id_col), want, dropout, seed, streams), schema)
@@ -357,6 +359,7 @@ def _decode(held, at):
 def decode(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """`encoded` with the text of its piece ids."""
     ship(__name__)
+    bounded_batches(encoded.sparkSession)
     held = encoded.sparkSession.sparkContext.broadcast(load(path))
     schema = T.StructType([*encoded.schema.fields, T.StructField("__text", T.StringType())])
     out = encoded.mapInArrow(_decode(held, encoded.columns.index(ids_col)), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import NO_ID, doc_key, partitions, stored
+from .common import NO_ID, bounded_batches, doc_key, partitions, stored
 
 #: The tree is fitted on at most about this many fingerprints, with at least SAMPLE_LEAF of them in a shard.
 SAMPLE_ROWS, SAMPLE_LEAF = 200_000, 16
@@ -59,6 +59,7 @@ def _prints(words, seed):
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, t (hash of the text, as in `doc_key`), fp: one row per document."""
     ship(__name__)
+    bounded_batches(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("long"), doc_key()[1].alias("t"), F.col("text"))
             .mapInArrow(_prints(words, seed), "doc_id long, t long, fp long"))
 
