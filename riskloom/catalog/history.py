@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import ALL_FEATURES, BASE, COLD_FEATURES, MISSING
 from ..functions.columns import HANDLE_NAMES
 from ..operators import features as feats
+from ..operators.asof import hot_keys
 from ..operators import history as h
 from ..sources import testviews as views
 from .shared import TIES, TXN, big, r, tidy
@@ -231,6 +232,26 @@ def _features(names, view=views.txn, extra=(), digits=6):
     return run
 
 
+# The *_hot twins call a key hot from a thousandth of the rows on, so that keys are split at every size of the tables.
+FORCED_SHARE = 1e-3
+
+
+def _forced(events):
+    return hot_keys(events, min_rows=2, share=FORCED_SHARE)
+
+
+def _hot_read(fn):
+    def run(spark, d):
+        events = views.txn(spark, d)
+        return tidy(fn(events, hot=_forced(events)))
+    return run
+
+
+def hot_feature_table(spark, d):
+    events = views.txn(spark, d)
+    return tidy(feats.point_in_time(events, hot=_forced(events)).select("txn_id", "is_cold", *ALL_FEATURES))
+
+
 def _register():
     q, s = {}, {}
     for name, (fn, cols) in READS.items():
@@ -240,6 +261,8 @@ def _register():
                     "payer_distinct_payees", "device_distinct_payers", "device_seen_for_payer"):
             q[name + "_ties"] = lambda spark, d, fn=fn: tidy(fn(views.txn_ties(spark, d)))
             s[name + "_ties"] = _sql(cols, TIES)
+        if name in ("payer_txn_count", "payee_distinct_payers", "payer_amount_stats", "device_distinct_payers"):
+            q[name + "_hot"], s[name + "_hot"] = _hot_read(fn), s[name]
     # order totals are five-digit amounts: three decimals are what doubles carry through a deviation
     q["payer_amount_stats_ties"] = lambda spark, d: tidy(h.payer_amount_stats(views.txn_ties(spark, d)), 3)
     s["payer_amount_stats_ties"] = _sql(stats(over(P, M1), 3), TIES)
@@ -261,6 +284,7 @@ def _register():
     cold = "yn < 3 AS is_cold, "
     q["feature_table"] = _features(ALL_FEATURES, extra=("is_cold",))
     s["feature_table"] = features_sql(ALL_FEATURES, extra=cold)
+    q["feature_table_hot"], s["feature_table_hot"] = hot_feature_table, s["feature_table"]
     q["cold_feature_subset"] = _features(COLD_FEATURES, extra=("is_cold",))
     s["cold_feature_subset"] = features_sql(COLD_FEATURES, extra=cold)
     q["cold_routing"] = lambda spark, d: feats.cold_flags(views.txn(spark, d))

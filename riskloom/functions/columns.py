@@ -14,13 +14,13 @@ MONTH = 30 * DAY
 
 # Given and family names looked for inside a payee handle.
 HANDLE_NAMES = (
-    "raj priya amit sneha vikram anita rahul pooja arjun neha "
-    "suresh kavita manoj divya sanjay meera ravi shreya vijay anjali "
-    "karan swati deepak nisha ajay ritu vinod priyanka sunil asha "
-    "kumar sharma patel singh reddy gupta verma iyer nair rao "
-    "mehta joshi shah desai chauhan malhotra pillai menon das bose "
-    "rohit sana farhan zoya aditya ishita gaurav tanvi harsh simran"
-).split()
+    "raj", "priya", "amit", "sneha", "vikram", "anita", "rahul", "pooja", "arjun", "neha",
+    "suresh", "kavita", "manoj", "divya", "sanjay", "meera", "ravi", "shreya", "vijay", "anjali",
+    "karan", "swati", "deepak", "nisha", "ajay", "ritu", "vinod", "priyanka", "sunil", "asha",
+    "kumar", "sharma", "patel", "singh", "reddy", "gupta", "verma", "iyer", "nair", "rao",
+    "mehta", "joshi", "shah", "desai", "chauhan", "malhotra", "pillai", "menon", "das", "bose",
+    "rohit", "sana", "farhan", "zoya", "aditya", "ishita", "gaurav", "tanvi", "harsh", "simran",
+)
 
 
 def micros(ts) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .registry import ALL_FEATURES, MISSING
 
 # How each feature's value is put into words. %0 and %1 stand for
-# the value with no or one decimal, %p for it as a percentage.
+# the value with no or one decimal, %p for it as a percentage, %h for it in two digits.
 FLAGS = {
     "is_night": ("Payment made outside this payer's usual hours", "Payment made during this payer's usual hours"),
     "is_collect_request": ("Initiated as a collect request", "Not initiated as a collect request"),
@@ -53,8 +53,11 @@ ROUND_AMOUNT = {
     "neither": "Amount is not a round number",
 }
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-LATE_HOUR = " -- a late-night hour with little legitimate activity for most payers"
-DIGIT_HEAVY = (" -- unusually digit-heavy handles are more common in auto-generated or disposable accounts")
+HOUR = "Transaction occurred at %h:00"
+LATE_HOUR = "Transaction occurred at %h:00 -- a late-night hour with little legitimate activity for most payers"
+DIGITS = "Payee handle is %p digits"
+DIGIT_HEAVY = ("Payee handle is %p digits -- unusually digit-heavy handles are more common in auto-generated or "
+               "disposable accounts")
 RANDOM_HANDLE = "Payee handle's characters look more randomly generated than a typical name (score %1)"
 NAME_HANDLE = "Payee handle's characters look name-like, not randomly generated (score %1)"
 FIRST_PAIR = "First payment ever between this payer and payee"
@@ -64,9 +67,20 @@ NO_VALUE = "%s could not be reliably computed (insufficient history)"
 NO_VALUE_SPECIAL = {"days_since_payer_last_paid_payee": "First-ever payment from this payer to this payee"}
 
 
+def tenths(v: Column) -> Column:
+    """`v` rounded to one decimal, half to even, on the exact value of the double: 0.35 lies a little below the middle
+    of 0.3 and 0.4. 20 v - n is taken as (16 v - n) + 4 v, whose steps are exact near the middle n."""
+    low = F.floor(v * 10).cast("double")
+    middle = 2 * low + 1
+    beyond = (v * 16 - middle) + v * 4
+    up = (beyond > 0) | ((beyond == 0) & (low % 2 != 0))
+    return F.when(up, low + 1).otherwise(low) / 10
+
+
 def _fill(text: str, v: Column) -> Column:
     """The text with its value mark replaced."""
-    marks = {"%0": F.format_string("%.0f", F.bround(v, 0)), "%1": F.format_string("%.1f", F.bround(v, 1)),
+    marks = {"%0": F.format_string("%.0f", F.bround(v, 0)), "%1": F.format_string("%.1f", tenths(v)),
+             "%h": F.format_string("%02d", v.cast("int")),
              "%p": F.concat(F.format_string("%.0f", F.bround(v * 100, 0)), F.lit("%"))}
     for mark, shown in marks.items():
         if mark in text:
@@ -89,8 +103,7 @@ def message_for(feature: str, v: Column, category: Column) -> Column:
     elif feature in PLAIN:
         out = _fill(PLAIN[feature], v)
     elif feature == "hour_of_day":
-        base = F.concat(F.lit("Transaction occurred at "), F.format_string("%02d", v.cast("int")), F.lit(":00"))
-        out = F.when(v < 5, F.concat(base, F.lit(LATE_HOUR))).otherwise(base)
+        out = F.when(v < 5, _fill(LATE_HOUR, v)).otherwise(_fill(HOUR, v))
     elif feature == "day_of_week":
         out = F.concat(F.lit("Transaction occurred on "), F.array(*[F.lit(d) for d in WEEKDAYS])[(v % 7).cast("int")])
     elif feature == "amount_roundness":
@@ -101,8 +114,7 @@ def message_for(feature: str, v: Column, category: Column) -> Column:
     elif feature == "seconds_since_payer_last_txn":
         out = _fill(MINUTES, v / 60)
     elif feature == "payee_handle_digit_ratio":
-        base = _fill("Payee handle is %p digits", v)
-        out = F.when(v >= 0.5, F.concat(base, F.lit(DIGIT_HEAVY))).otherwise(base)
+        out = F.when(v >= 0.5, _fill(DIGIT_HEAVY, v)).otherwise(_fill(DIGITS, v))
     elif feature == "payee_handle_entropy":
         out = F.when(v >= 3.5, _fill(RANDOM_HANDLE, v)).otherwise(_fill(NAME_HANDLE, v))
     elif feature == "payer_payee_txn_count":

@@ -214,6 +214,13 @@ def test_message_texts(spark, name, v, want):
     assert spark.range(1).select(messages.message_for(name, F.lit(v).cast("double"), F.lit(None))).first()[0] == want
 
 
+def test_one_decimal_is_rounded_on_the_exact_value(spark):
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 1.05, 2.675, 3.95, 0.3 - 5e-17, 12345.65, 1e12 + 0.25] + [k / 20 for k in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(F.format_string("%.1f", messages.tenths(F.col("v")))).collect()]
+    assert got == [f"{v:.1f}" for v in values]
+
+
 def test_reasons_are_ranked_and_a_lone_weak_one_is_dropped(spark):
     rows = [("a", f, 1.0, None, c) for f, c in [("is_night", 0.3), ("amount_log", 0.9), ("hour_of_day", -2.0), ("is_p2p", 0.1)]]
     rows += [("b", "is_p2p", 1.0, None, 0.5)]
