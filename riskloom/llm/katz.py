@@ -1,18 +1,19 @@
-"""Language-model scores: a Katz back-off model learnt from the corpus.
+"""Language-model scores: a Katz back-off model of bigrams learnt from the corpus.
 
-Words are counted over all training documents. The bigram level works on word classes: each word with at least
-`CLASS_SHARE` of all tokens is a class of its own, the others together make one more, inside which a word follows its
-Good-Turing discounted share; so a text's probability is that of its words. Counts, discounts and back-off weights:
+All words and all bigrams of the training documents are counted, whatever their frequency. Discounts and weights:
 
 * a count of r up to K keeps the share d_r of Good-Turing (Katz's formula); the mass set free goes to what was not seen;
 * back-off weights are normalised exactly: for each context, the discounted seen words and the backed-off unseen ones
   add up to one. A context whose counts leave nothing free gives up 1/(c+1);
 * p(w | h) = d c(h, w) / c(h) if seen, else alpha(h) p(w); p(w) = d c(w) / N if seen, else the free mass of unseen words.
+  A context that was never seen has alpha 1.
 
-Counts and deltas lie in tables hash-partitioned by n-gram. What has at least `HOT_SHARE` of all tokens (at most
-1/HOT_SHARE words and as many bigrams, by that definition) is sent to the tasks and scored in place; each other
-occurrence first counts as unseen, travels as a small row to its n-gram's partition, and brings back by how much a seen
-n-gram differs from an unseen one. So no key of a large share is ever shuffled.
+Counts and deltas lie in tables hash-partitioned by n-gram. Words of at least `CLASS_SHARE` of all tokens have numbers,
+which the tasks hold, as they do bigrams of such words of at least `HOT_SHARE` (at most 1/share of each, by that
+definition); these are scored in place. Other words go by 62 bits of their hash, and bigrams with such a word by 62 bits
+of a hash of both. Each occurrence not settled in place first counts as unseen, travels as a small row to its n-gram's
+partition, and brings back by how much a seen n-gram differs from an unseen one. So no key of a large share is ever
+shuffled, and the two shares decide the route of an n-gram only, never its score.
 
 Defined results: a NULL or empty text is one end token. Documents without id are training documents. Rows alike in id and
 text get equal scores. With no training tokens every token is unseen: base and score follow from the formulas with zero
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import NO_ID, doc_key, stored
 
-CLASS_SHARE, HOT_SHARE, K = 1e-5, 1e-6, 5
-#: Numbers of the words that are not in the table: other words, start (context only), end. A bigram is h << 24 | w.
+CLASS_SHARE, HOT_SHARE, K = 1e-6, 1e-6, 5
+#: Numbers of what is not among the numbered words: other words, start (context only), end. A bigram is h << 24 | w.
 OTHER, START, END, FIRST, SHIFT = 0, 1, 2, 3, 24
+#: From here on, words and bigrams are hashes; documents' own rows have keys from OWN on, below it.
+HASHED, OWN = 1 << 62, 1 << 61
 #: The end token among word counts; no word holds a line end.
 END_WORD = b"\n"
 COUNTED, CHUNK = 400_000, 300_000
@@ -92,39 +95,22 @@ def _counts_of_counts(table: DataFrame) -> dict[int, int]:
 
 
 class Words:
-    """The frequent words with what one token of each adds; index OTHER stands for an unseen word."""
+    """The numbered words with what one token of each adds; index OTHER stands for an unseen word."""
 
     def __init__(self, rows, total: int, types: int, of_counts: dict[int, int], all_discounted: float):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.total, self.types = total, types
         self.d = discounts(of_counts)
         ends = sum(c for w, c in rows if w == END_WORD)
         rows = [(w, c) for w, c in rows if w != END_WORD]
         self.words = [w for w, _ in rows]
         c = np.array([0, 0, ends, *[c for _, c in rows]], np.int64)
-        self.base_floor = -math.log10(total + 0.5 * (types + 1))
-        self.base = np.log10(c + 0.5) + self.base_floor
+        self.base = np.log10(c + 0.5) - math.log10(total + 0.5 * (types + 1))
         self.known = c > 0
         self.free = max(1 - all_discounted / total, 1 / (total + 1)) if total else 1.0     # mass of unseen words
-        self.scale = (1 - self.free) * total / all_discounted if all_discounted else 0.0
-        p = self.scale * discounted(c, self.d) / max(1, total)
-        self.classes = FIRST + sum(1 for _, c in rows if c >= CLASS_SHARE * total)
-        p1 = p[:self.classes].copy()
-        p1[START] = 0
-        p1[OTHER] = 0
-        p1[OTHER] = max(1 - p1.sum(), self.free)                                            # all other words, seen or not
-        p1 /= p1.sum()
-        with np.errstate(divide="ignore"):
-            self.p1, self.log_p1 = p1, np.log10(p1)
-            self.unseen = math.log10(self.free / p1[OTHER])
-            self.within = np.log10(np.maximum(p, 1e-300) / p1[OTHER])                       # of the class of other words
-        self.within[:self.classes] = 0
-        self.within[OTHER] = self.unseen
-        self.class_of = np.arange(len(c))
-        self.class_of[self.classes:] = OTHER
-
-    def number(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words, FIRST)}
+        #: p(w) of a seen word is its discounted count times this.
+        self.share = (1 - self.free) / all_discounted if all_discounted else 0.0
+        self.p = self.share * discounted(c, self.d)
+        self.log_p = np.log10(np.where(self.p > 0, self.p, self.free))
 
 
 def _ready(held) -> dict:
@@ -136,7 +122,8 @@ def _ready(held) -> dict:
 
 
 def _chunks(batches, number, first):
-    """Documents in chunks: columns before the text, word lists, numbers of all tokens with the end of each document."""
+    """Documents in chunks: columns before the text; numbers of all tokens, the same with hashes for words without a
+    number, and the end of each document."""
     rows, words, size = [], [], 0
     for b in batches:
         for row in zip(*[b.column(i).to_pylist() for i in range(first)], _texts(b.column(first))):
@@ -145,122 +132,140 @@ def _chunks(batches, number, first):
             words.append(w)
             size += len(w) + 1
             if size >= CHUNK:
-                yield rows, words, _numbers(words, number, size)
+                yield rows, *_numbers(words, number, size)
                 rows, words, size = [], [], 0
     if rows:
-        yield rows, words, _numbers(words, number, size)
+        yield rows, *_numbers(words, number, size)
 
 
 def _numbers(words, number, size):
     out = np.fromiter(chain.from_iterable(map(number.get, chain(w, (END_WORD,)), repeat(OTHER)) for w in words), np.int64, size)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     out[ends] = END
-    return out, ends
+    ids, starts = out.copy(), np.r_[0, ends[:-1] + 1]
+    other = np.flatnonzero(out == OTHER)
+    doc = np.searchsorted(ends, other)
+    ids[other] = [_word_id(words[j][i]) for j, i in zip(doc.tolist(), (other - starts[doc]).tolist())]
+    return out, ids, ends
 
 
-def _bigrams(numbers, ends, class_of):
-    w = class_of[numbers]
+def _word_id(word: bytes) -> int:
+    return HASHED | xxhash.xxh3_64_intdigest(word) >> 2
+
+
+def _before(w, ends):
     h = np.roll(w, 1)
     h[0] = START
     h[ends[:-1] + 1] = START
-    return h << SHIFT | w
+    return h
+
+
+def _keys(h, w):
+    """h << SHIFT | w for two numbers, otherwise a hash of both."""
+    with np.errstate(over="ignore"):
+        x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+        for step, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(step)) * np.uint64(factor)
+    mixed = ((x ^ x >> np.uint64(31)) >> np.uint64(2)).astype(np.int64) | HASHED
+    return np.where((h < HASHED) & (w < HASHED), (h & (1 << SHIFT) - 1) << SHIFT | w, mixed)
 
 
 def _count_bigrams(held):
     def run(batches):
         v = _ready(held)
-        for _, _, (numbers, ends) in _chunks(batches, v["number"], 0):
-            k, n = np.unique(_bigrams(numbers, ends, v["class_of"]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+        for _, _, w, ends in _chunks(batches, v["number"], 0):
+            h = _before(w, ends)
+            _, at, n = np.unique(_keys(h, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], w[at], n)], names=["h", "w", "n"])
     return run
 
 
-def _contexts(held):
-    """Per context: its count, the discounted counts of its seen words, and their unigram mass."""
+def _shares(held):
+    """p(w) beside each bigram of a numbered word."""
     def run(batches):
-        v = held.value
+        p = held.value["p"]
         for b in batches:
-            k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            h, at = np.unique(k >> SHIFT, return_inverse=True)
-            sums = [np.bincount(at, x, len(h)) for x in (c.astype(float), discounted(c, v["d2"]), v["p1"][k & (1 << SHIFT) - 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(x) for x in sums]], names=["h", "n", "kept", "mass"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[b.column(1).to_numpy()])], names=["h", "w", "c", "p"])
     return run
 
 
-def _deltas(held):
-    """By how much log10 p(w | h) of a seen bigram differs from that of an unseen one."""
+def _deltas(d2, held=None):
+    """By how much log10 p(w | h) of a seen bigram differs from that of an unseen one, from h, w, c, p and the sums of
+    the context: of numbered contexts as held, of others in columns."""
     def run(batches):
-        v = held.value
         for b in batches:
-            k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            h, w = k >> SHIFT, k & (1 << SHIFT) - 1
-            delta = np.log10(v["scale"][h] * discounted(c, v["d2"]) / v["n"][h]) - v["log_alpha"][h] - v["log_p1"][w]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(delta)], names=["k", "c", "delta"])
+            h, w, c, p = (b.column(i).to_numpy() for i in range(4))
+            if held is None:
+                n = b.column(4).to_numpy()
+                _, scale, log_alpha = weights(n, b.column(5).to_numpy(), b.column(6).to_numpy())
+            else:
+                n, scale, log_alpha = (held.value[x][h] for x in ("n", "scale", "log_alpha"))
+            delta = np.log10(scale * discounted(c, d2) / n) - log_alpha - np.log10(p)
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, w)), b.column(2), pa.array(delta)], names=["k", "c", "delta"])
     return run
 
 
-def _word_key(word: bytes) -> int:
-    """Keys of words are negative, those of bigrams are not."""
-    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+def _ids(batches):
+    for b in batches:
+        ids = np.array([_word_id(x) for x in b.column(0).to_pylist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(1)], names=["w", "cw"])
 
 
 def _word_deltas(d, log_step):
+    """What a word without a number adds as a word and as a context, less what an unseen one adds; keys are negative."""
     def run(batches):
         for b in batches:
-            c = b.column(1).to_numpy()
-            k = np.array([_word_key(w) for w in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.log10(discounted(c, d)) + log_step), pa.array(np.log10(c + 0.5) - math.log10(0.5))],
+            k, c, n, kept, mass = (b.column(i).to_numpy() for i in range(5))
+            score = np.log10(discounted(c, d)) + log_step + weights(n, kept, mass)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(-k), pa.array(score), pa.array(np.log10(c + 0.5) - math.log10(0.5))],
                                              names=["k", "score", "base"])
     return run
 
 
-SCORED = "d long, t long, k long, n double, known double, base double, score double"
+SCORED = "d long, t long, k long, n double, sums array<double>"
 
 
 def _score(held):
-    """One row per document with everything settled in place, and one per other n-gram it holds (with its count)."""
+    """One row per document with the sums of everything settled in place (known, base, score), and one without sums per
+    other n-gram it holds (with its count)."""
     def run(batches):
         v = _ready(held)
-        for rows, words, (numbers, ends) in _chunks(batches, v["number"], 2):
+        for rows, numbers, ids, ends in _chunks(batches, v["number"], 2):
             starts = np.r_[0, ends[:-1] + 1]
-            key = _bigrams(numbers, ends, v["class_of"])
-            h, w = key >> SHIFT, key & (1 << SHIFT) - 1
-            score = v["within"][numbers] + v["log_alpha"][h] + v["log_p1"][w]
+            h = _before(ids, ends)
+            key = _keys(h, ids)
+            held_h = np.where(h < HASHED, h, OTHER)
+            score = v["log_p"][numbers] + v["log_alpha"][held_h]
             at = np.minimum(np.searchsorted(v["hot"], key), len(v["hot"]) - 1)
             hot = v["hot"][at] == key
             score[hot] += v["hot_delta"][at[hot]]
-            sums = [np.add.reduceat(x, starts) for x in (v["known"][numbers].astype(float), v["base"][numbers], score)]
+            sums = np.stack([np.add.reduceat(x, starts) for x in (v["known"][numbers].astype(float), v["base"][numbers], score)], 1)
             doc = np.repeat(np.arange(len(rows)), ends - starts + 1)
-            seen = v["n"][h] > 0
-            away = np.flatnonzero(~hot & seen)
+            away = np.flatnonzero(~hot & ((h >= HASHED) | (v["n"][held_h] > 0)))
+            rare = np.flatnonzero(ids >= HASHED)
+            k, of = np.concatenate([key[away], -ids[rare]]), np.concatenate([doc[away], doc[rare]])
             # sorted by document and key, so that repeats within a document fold
-            order = away[np.lexsort((key[away], doc[away]))]
-            k, of = key[order], doc[order]
+            order = np.lexsort((k, of))
+            k, of = k[order], of[order]
             fresh = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (of[1:] != of[:-1])]) if len(k) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[fresh, len(k)])
-            # numbers[at] is OTHER only for words outside the table
-            rare = Counter()
-            for i in np.flatnonzero(numbers == OTHER).tolist():
-                j = int(doc[i])
-                rare[j, words[j][i - int(starts[j])]] += 1
-            wk = np.array([_word_key(x) for _, x in rare], np.int64)
-            wd = np.array([j for j, _ in rare], np.int64)
+            n = np.diff(np.r_[fresh, len(k)]).astype(float)
             d, t = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            all_docs = np.concatenate([of[fresh], wd])
-            by_doc = np.argsort(all_docs, kind="stable")
-            many = len(by_doc)
-            cold = [x[by_doc] for x in (all_docs, np.concatenate([k[fresh], wk]), np.concatenate([n, np.fromiter(rare.values(), np.int64, len(rare))]))]
-            zero = np.zeros(many)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[cold[0]], t[cold[0]], cold[1], cold[2].astype(float), zero, zero, zero)],
-                                             names=["d", "t", "k", "n", "known", "base", "score"])
-            # a document's own row goes to some partition; its key is beyond those of bigrams
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, t, (t & (1 << 60) - 1) | 1 << 61, (ends - starts + 1).astype(float), *sums)],
-                                             names=["d", "t", "k", "n", "known", "base", "score"])
+            of = of[fresh]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (d[of], t[of], k[fresh], n)], pa.nulls(len(fresh), pa.list_(pa.float64()))],
+                                             names=["d", "t", "k", "n", "sums"])
+            # a document's own row goes to some partition; its key is beyond those of numbered bigrams
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (d, t, (t & (1 << 60) - 1) | OWN, (ends - starts + 1).astype(float))],
+                                              pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["d", "t", "k", "n", "sums"])
     return run
 
 
+def _discounted(c: str, d: np.ndarray):
+    """`discounted` as a column."""
+    return F.col(c) * F.when(F.col(c) < len(d), F.element_at(F.array(*map(F.lit, d.tolist())), F.col(c).cast("int") + 1)).otherwise(1.0)
+
+
 def train(docs: DataFrame) -> tuple[dict, DataFrame]:
-    """From the texts of `docs`: what tasks hold (frequent words and bigrams, weights of contexts) and the table of
+    """From the texts of `docs`: what tasks hold (numbered words, hot bigrams, weights of contexts) and the table of
     all other n-grams (k, score, base: differences from an unseen n-gram; base is NULL for bigrams)."""
     ship(__name__)
     spark = docs.sparkSession
@@ -268,33 +273,44 @@ def train(docs: DataFrame) -> tuple[dict, DataFrame]:
     table = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     s = table.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("c") > K, F.col("c"))).alias("much")).first()
     total, of_counts = s.n or 0, _counts_of_counts(table)
-    small = {r.c: r.n for r in table.filter(F.col("c") <= K).groupBy("c").agg(F.count("*").alias("n")).collect()}
     d1 = discounts(of_counts)
-    kept = (s.much or 0) + sum(d1[c] * c * n for c, n in small.items())
-    frequent = table.filter((F.col("c") >= HOT_SHARE * total) | (F.col("word") == END_WORD))
-    words = Words([(bytes(r.word), r.c) for r in frequent.collect()], total, s.v, of_counts, kept)
-    v = {"words": words.words, "class_of": words.class_of, "p1": words.p1}
+    kept = (s.much or 0) + sum(d1[c] * c * n for c, n in of_counts.items() if c <= K)
+    numbered = (F.col("c") >= CLASS_SHARE * total) | (F.col("word") == END_WORD)
+    words = Words([(bytes(r.word), r.c) for r in table.filter(numbered).collect()], total, s.v, of_counts, kept)
+    v = {"words": words.words, "p": words.p}
     held = spark.sparkContext.broadcast(v)
-    pairs = stored(texts.mapInArrow(_count_bigrams(held), "k long, n long").groupBy("k").agg(F.sum("n").alias("c")), "bigrams")
-    v = {**v, "log_p1": words.log_p1, "d2": discounts(_counts_of_counts(pairs))}
-    held = spark.sparkContext.broadcast(v)
-    m = words.classes
+    pairs = stored(texts.mapInArrow(_count_bigrams(held), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c")), "bigrams")
+    d2 = discounts(_counts_of_counts(pairs))
+    rare = table.filter(~numbered).select("word", "c").mapInArrow(_ids, "w long, cw long")
+    # bigrams of words without a number meet the word's count by a join; no key of it has a large share
+    far = stored(pairs.filter(F.col("w") >= HASHED).join(rare, "w").withColumn("p", words.share * _discounted("cw", d1))
+                 .select("h", "w", "c", "p"), "rare-bigrams")
+    both = pairs.filter(F.col("w") < HASHED).mapInArrow(_shares(held), "h long, w long, c long, p double").unionByName(far)
+    contexts = stored(both.groupBy("h").agg(F.sum("c").cast("double").alias("n"), F.sum(_discounted("c", d2)).alias("kept"),
+                                            F.sum("p").alias("mass")), "contexts")
+    m = FIRST + len(words.words)
     n, kept2, mass = np.zeros(m), np.zeros(m), np.zeros(m)
-    for r in pairs.mapInArrow(_contexts(held), "h long, n double, kept double, mass double").groupBy("h").agg(
-            F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass")).collect():   # one row per class
+    for r in contexts.filter(F.col("h") < HASHED).collect():                                # one row per numbered word
         n[r.h], kept2[r.h], mass[r.h] = r.n, r.kept, r.mass
-    left, scale, log_alpha = weights(n, kept2, mass)
-    v |= {"n": n, "scale": scale, "log_alpha": log_alpha}
+    _, scale, log_alpha = weights(n, kept2, mass)
+    v = {"words": words.words, "n": n, "scale": scale, "log_alpha": log_alpha}
     held = spark.sparkContext.broadcast(v)
-    deltas = stored(pairs.mapInArrow(_deltas(held), "k long, c long, delta double"), "bigram-deltas")
-    hot = sorted((r.k, r.delta) for r in deltas.filter(F.col("c") >= HOT_SHARE * total).collect())
-    v |= {"within": words.within, "known": words.known, "base": words.base,
+    out = "k long, c long, delta double"
+    near = both.filter(F.col("h") < HASHED).mapInArrow(_deltas(d2, held), out)
+    others = contexts.filter(F.col("h") >= HASHED)
+    away = both.filter(F.col("h") >= HASHED).join(others, "h").select("h", "w", "c", "p", "n", "kept", "mass").mapInArrow(_deltas(d2), out)
+    is_hot = (F.col("c") >= HOT_SHARE * total) & (F.col("k") < HASHED)
+    # hot bigrams are found by their count before anything is computed for them
+    few = pairs.filter((F.col("c") >= HOT_SHARE * total) & (F.col("h") < HASHED) & (F.col("w") < HASHED))
+    hot_rows = few.mapInArrow(_shares(spark.sparkContext.broadcast({"p": words.p})), "h long, w long, c long, p double").mapInArrow(_deltas(d2, held), out)
+    hot = sorted((r.k, r.delta) for r in hot_rows.collect())
+    v |= {"log_p": words.log_p, "known": words.known, "base": words.base,
           "hot": np.array([k for k, _ in hot] or [-1], np.int64), "hot_delta": np.array([x for _, x in hot] or [0.0])}
-    step = math.log10(words.scale / max(1, total)) - math.log10(words.free) if total else 0.0
-    rare = (table.filter((F.col("c") < HOT_SHARE * total) & (F.col("word") != END_WORD))
-            .mapInArrow(_word_deltas(words.d, step), "k long, score double, base double"))
-    other = deltas.filter(F.col("c") < HOT_SHARE * total).select("k", F.col("delta").alias("score"), F.lit(None).cast("double").alias("base"))
-    return {**v, "total": total, "classes": m}, other.unionByName(rare)
+    step = math.log10(words.share) - math.log10(words.free) if total else 0.0
+    word_rows = (rare.join(others.withColumnRenamed("h", "w"), "w").select("w", "cw", "n", "kept", "mass")
+                 .mapInArrow(_word_deltas(d1, step), "k long, score double, base double"))
+    model = near.filter(~is_hot).unionByName(away).select("k", F.col("delta").alias("score"), F.lit(None).cast("double").alias("base"))
+    return {**v, "total": total}, model.unionByName(word_rows)
 
 
 def weights(n: np.ndarray, kept: np.ndarray, mass: np.ndarray):
@@ -314,17 +330,16 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     ship(__name__)
     spark = docs.sparkSession
     v, model = train(docs.filter(~F.col(held_out)))
-    held = spark.sparkContext.broadcast({k: x for k, x in v.items() if k != "p1"})
+    held = spark.sparkContext.broadcast(v)
     d, t = doc_key()
     rows = docs.select(d.alias("d"), t.alias("t"), F.col("text")).mapInArrow(_score(held), SCORED)
     found = rows.join(model.select("k", F.col("score").alias("more"), F.col("base").alias("more_base")).hint("shuffle_hash"), "k", "left")
-    own = F.col("k") >= 1 << 61
-    n = F.col("n")
+    own, n = F.col("sums").isNotNull(), F.col("n")
+    of = lambda i, c: F.sum(F.when(own, F.col("sums")[i]).otherwise(F.coalesce(c, F.lit(0.0))))
     sums = found.groupBy("d", "t").agg(
         F.sum(F.when(own, 1)).alias("copies"), F.sum(F.when(own, n).otherwise(0)).alias("tokens"),
-        F.sum(F.when(own, F.col("known")).otherwise(F.when(F.col("more_base").isNotNull(), n).otherwise(0))).alias("known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.coalesce(n * F.col("more_base"), F.lit(0.0)))).alias("base"),
-        F.sum(F.when(own, F.col("score")).otherwise(F.coalesce(n * F.col("more"), F.lit(0.0)))).alias("score"))
+        of(0, F.when(F.col("more_base").isNotNull(), n)).alias("known"), of(1, n * F.col("more_base")).alias("base"),
+        of(2, n * F.col("more")).alias("score"))
     one = F.col("copies")
     whole = lambda c: F.round(F.col(c) / one).cast("long")
     doc_id = F.nullif(F.col("d"), F.lit(NO_ID))

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -183,6 +184,51 @@ def test_katz_adds_up_and_matches_both_routes(spark, docs, monkeypatch):
     assert empty.count() == 0
 
 
+def _plain_katz(rows):
+    """n_tokens, n_known, base and score by (id, text) from plain counts of all words and bigrams."""
+    split = lambda t: [*(t or "").encode().lower().split(), katz.END_WORD]
+    train = [split(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    one = Counter(w for x in train for w in x)
+    two = Counter(b for x in train for b in zip([None, *x], x))
+    d1, d2 = (katz.discounts(Counter(c.values())) for c in (one, two))
+    total, d = sum(one.values()), lambda c, by: c * (by[c] if c < len(by) else 1)
+    kept = sum(d(c, d1) for c in one.values())
+    free = max(1 - kept / total, 1 / (total + 1))
+    p = {w: (1 - free) * d(c, d1) / kept for w, c in one.items()}
+    n, share, mass = Counter(), Counter(), Counter()
+    for (h, w), c in two.items():
+        n[h] += c
+        share[h] += d(c, d2)
+        mass[h] += p[w]
+    left = {h: max(1 - share[h] / n[h], 1 / (n[h] + 1)) for h in n}
+
+    def prob(h, w):
+        if (h, w) in two:
+            return (1 - left[h]) * d(two[h, w], d2) / share[h]
+        return (left[h] / (1 - mass[h]) if h in n else 1) * p.get(w, free)
+
+    for h in n:                                                # each context adds up to one, the unseen word included
+        assert abs(sum(prob(h, w) for w in [*one, b"never seen"]) - 1) < 1e-9
+    out = {}
+    for i, t in rows:
+        x = split(t)
+        base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in x)
+        out[i, t] = (len(x), sum(w in one for w in x), base, sum(math.log10(prob(h, w)) for h, w in zip([None, *x], x)))
+    return out
+
+
+def test_katz_counts_every_bigram(spark, docs, corpus, monkeypatch):
+    """Whatever has a number or is held by the tasks, scores are those of plain counts over all words and bigrams."""
+    want = _plain_katz([(i, t) for i, t, *_ in corpus])
+    d = docs.select("doc_id", "text").withColumn("held_out", katz.held_out_of(F.col("doc_id")))
+    for numbered, hot in ((1e-6, 1e-6), (1e-2, 1e-6), (1e-2, 0.05), (0.9, 0.9)):
+        monkeypatch.setattr(katz, "CLASS_SHARE", numbered)
+        monkeypatch.setattr(katz, "HOT_SHARE", hot)
+        got = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(d).collect())
+        assert got == Counter((i, n, k, round(b, 6), round(s, 6)) for n, k, b, s, i in
+                              ((*want[i, t], i) for i, t, *_ in corpus)), (numbered, hot)
+
+
 def test_pieces_round_trip_and_library(docs, corpus):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [t for _, t, *_ in corpus if t is not None] + ["  a  b \n\n c ", " ", "\n", "日本語 🙂 tab\t", "x" * 300]
