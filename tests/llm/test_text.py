@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import decontam, katz, langid, linededup, pieces, quality, queries, revisit, secrets, simhash, substring
+from riskloom.llm import decontam, katz, langid, linededup, neardup, pieces, quality, queries, revisit, secrets, simhash, substring
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -168,6 +168,46 @@ def test_components_of_a_chain(spark):
     assert {r.u: r.root for r in simhash.components(chain).collect() if r.u != r.root} == {**{i: 0 for i in range(1, 61)}, 105: 100, 101: 100}
 
 
+def _shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_near_copies(spark, corpus, monkeypatch):
+    """Planted copies with a few words changed: the stage keeps what all pairs of exact similarity 0.8 leave."""
+    r, rows = random.Random(4), list(corpus)
+    for g in range(6):
+        base = words(200, 900 + g, 5000).split()
+        for c in range(30 if g == 0 else 5):
+            copy = list(base)
+            for _ in range(r.randrange(1, 6)):
+                copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+            rows.append((1000 + 100 * g + c, " ".join(copy), "en", "s", 1))
+    sets = {(i, t): _shingles(t) for i, t, *_ in rows}
+    names = list(sets)
+    root = {k: k for k in names}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            x, y = sets[a], sets[b]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                root[find(a)] = find(b)
+    first = {}
+    for k in sorted(names, key=lambda k: (k[0] is None, k[0] or 0)):
+        first.setdefault(find(k), k)
+    planted = spark.createDataFrame(rows, DOC)
+    for small, ahead in ((neardup.SMALL, neardup.NEXT), (2, 0)):                   # (2, 0): large buckets only by the second round
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "NEXT", ahead)
+        got = corpus_pipeline.near_dedup(spark, planted, "").collect()
+        assert Counter(x.doc_id for x in got) == Counter(i for i, _ in first.values()), small
+
+
 def test_katz_adds_up_and_matches_both_routes(spark, docs, monkeypatch):
     d = docs.select("doc_id", "text").withColumn("held_out", katz.held_out_of(F.col("doc_id")))
     seen = []
