@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, linededup, pieces, quality, revisit, secrets, simhash, substring
+from . import crosstok, decontam, katz, langid, linededup, pieces, quality, revisit, secrets, sharding, simhash, substring, vectorcodes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -65,10 +65,78 @@ def op10_secrets(spark, sf_dir):
     return found.withColumn("found_sha256", F.sha2("found", 256)).drop("found")
 
 
+def op11_cross_tokenizer(spark, sf_dir):
+    return crosstok.align_report(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return vectorcodes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_sharding(spark, sf_dir):
+    dealt = sharding.assign(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash,
-           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op6_substring": op6_substring, "op7_revisits": op7_revisits, "op8_quality": op8_quality, "op9_language_id": op9_language_id, "op10_secrets": op10_secrets}
+           "op4_katz": op4_katz, "op5_sentencepiece": op5_sentencepiece, "op6_substring": op6_substring, "op7_revisits": op7_revisits, "op8_quality": op8_quality, "op9_language_id": op9_language_id, "op10_secrets": op10_secrets,
+           "op11_cross_tokenizer": op11_cross_tokenizer, "op12_vector_codes": op12_vector_codes, "op13_sharding": op13_sharding}
 
 SQL = {
+    "op12_vector_codes": """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, label, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x FROM kept, range(16) AS t(p)),
+c0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM part
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+a0 AS (
+  SELECT vec_id, p, x, arg_min(e, d * 1000 + e) AS e FROM (
+    SELECT part.vec_id, part.p, part.x, c.e, list_sum(list_transform(list_zip(part.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM part JOIN c0 c USING (p)) GROUP BY vec_id, p, x),
+m0 AS (
+  SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a0) GROUP BY p, e, i) GROUP BY p, e),
+c1 AS (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c0 c LEFT JOIN m0 m USING (p, e)),
+a1 AS (
+  SELECT vec_id, p, x, arg_min(e, d * 1000 + e) AS e FROM (
+    SELECT part.vec_id, part.p, part.x, c.e, list_sum(list_transform(list_zip(part.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM part JOIN c1 c USING (p)) GROUP BY vec_id, p, x),
+m1 AS (
+  SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a1) GROUP BY p, e, i) GROUP BY p, e),
+c2 AS (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c1 c LEFT JOIN m1 m USING (p, e)),
+last AS (
+  SELECT vec_id, label, p, min(d * 1000 + e) AS k FROM (
+    SELECT part.vec_id, part.label, part.p, c.e, list_sum(list_transform(list_zip(part.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM part JOIN c2 c USING (p)) GROUP BY vec_id, label, p),
+rows AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', CAST(k % 1000 AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(k // 1000) AS BIGINT) AS error
+  FROM last GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM rows""",
+    "op13_sharding": """
+WITH crc_table AS (
+  WITH RECURSIVE r AS (
+    SELECT k, 0 AS s, CAST(k AS BIGINT) AS c FROM range(256) AS t(k)
+    UNION ALL SELECT k, s + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE s < 8)
+  SELECT list(c ORDER BY k) AS t FROM r WHERE s = 8),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) + 8 AS size FROM documents),
+sums AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM d, crc_table),
+run AS (
+  SELECT doc_id, m, size, coalesce(sum(size) OVER (ORDER BY substr(m, 1, 15), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+    sum(size) OVER () AS total FROM d),
+dealt AS (SELECT *, CAST((2 * b + size) * 24 // (2 * total) AS INTEGER) AS shard FROM run)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(m, 1, 15), doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt JOIN sums USING (doc_id)""",
     "op7_revisits": f"""
 WITH raw AS ({revisit.CAPTURES.format(pages="pages")}),
 cut AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS v FROM raw),
