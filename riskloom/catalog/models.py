@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import functions as F
 
 from ..functions import messages
@@ -16,12 +18,13 @@ from ..sources import decision_log as dl
 from ..sources import events as ev
 from ..sources import legacy
 from ..sources import testviews as views
+from ..sources.tiered import TieredHistory
 from ..streaming import payee_state, scorer
 from .decisions import ALERTS, CAUGHT, GROUPED, RANK
 from .explore import clean
-from .history import features_sql, over
+from .history import _group, features_sql, over
 from .inputs import DAYS
-from .shared import TXN, r, tidy
+from .shared import TIES, TXN, r, tidy
 
 QUERIES, SQL = {}, {}
 TREES = 5
@@ -137,7 +140,7 @@ def stream_run(sp, d):
         base = scratch(sp)
         _messages(sp, d, f"{base}/in")
         f = fitted(sp, d)
-        s = scorer.Scorer(dl.EventHistory(sp, f"{base}/history"), dl.DecisionLog(sp, f"{base}/log"), f.models, LOW,
+        s = scorer.Scorer(TieredHistory(sp, f"{base}/history"), dl.DecisionLog(sp, f"{base}/log"), f.models, LOW,
                           f"{base}/dead", f"{base}/stats")
         q = s.start(ev.stream_messages(sp, f"{base}/in"), f"{base}/ckpt", available_now=True)
         q.awaitTermination()
@@ -148,6 +151,41 @@ def stream_run(sp, d):
 add("stream_routing", lambda sp, d: stream_run(sp, d)[0].log.read().select("txn_id", "is_cold"),
     f"WITH {TXN} SELECT txn_id, count(*) {over('payee_vpa')} < 3 AS is_cold FROM txn")
 add("stream_decisions", lambda sp, d: stream_run(sp, d)[0].log.read().select("txn_id", "action", "risk_score", "source"))
+
+
+def _stream_against_batch(sp, d):
+    """Each row of the stream's log beside the batch replay of the same events."""
+    cols = ("is_cold", "action", "risk_tier", "raw_score", "risk_score", "feature_snapshot")
+    batch = scoring.replay(views.txn(sp, d), fitted(sp, d).models, LOW, None, "2024-02-01")
+    both = stream_run(sp, d)[0].log.read().select("txn_id", *cols).join(
+        batch.select("txn_id", *[F.col(c).alias(f"b_{c}") for c in cols]), "txn_id", "full")
+    same = lambda *names: F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in names]), lambda x: x)
+    return both.select("txn_id", same("is_cold", "feature_snapshot").alias("same_features"), same("raw_score", "risk_score").alias("same_scores"),
+                       same("action", "risk_tier").alias("same_decision"))
+
+
+add("stream_equals_batch", _stream_against_batch,
+    f"WITH {TXN} SELECT DISTINCT txn_id, true AS same_features, true AS same_scores, true AS same_decision FROM txn")
+
+_NEWEST = "2001-03-01"
+_tiered_names = [c for g in "BCDE" for c in _group(g)]
+
+
+def _tiered(sp, d):
+    """Features of the newest rows of a history of years, from a snapshot and the rows since."""
+    rows = materialize(views.txn_ties(sp, d))
+    store = TieredHistory(sp, f"{scratch(sp)}/tiered", every_days=60, grain="year")
+    for low, high in (("1900-01-01", "1998-01-01"), ("1998-01-01", "2000-09-01"), ("2000-09-01", _NEWEST)):
+        part = rows.where((F.col("ts") >= low) & (F.col("ts") < high))
+        store.append(part)
+        store.roll_if_due(part.agg(F.max("ts")).first()[0].astimezone(timezone.utc))
+    new = rows.where(F.col("ts") >= _NEWEST)
+    base = store.base_for(new.agg(F.min("ts")).first()[0].astimezone(timezone.utc))
+    return scoring.features_from(new, store, base).select("txn_id", *_tiered_names)
+
+
+add("tiered_history_features", _tiered,
+    f"SELECT * EXCLUDE (ts) FROM ({features_sql(_tiered_names, TIES, extra='ts, ', digits=3)}) q WHERE ts >= TIMESTAMP '{_NEWEST}'", digits=3)
 add("stream_history", lambda sp, d: stream_run(sp, d)[0].history.read().select("txn_id", "ts", "amount"),
     f"WITH {TXN} SELECT txn_id, ts, {r('amount')} AS amount FROM txn")
 add("stream_dead_letters", lambda sp, d: scorer.read_dead_letters(sp, stream_run(sp, d)[0].dead_letters).groupBy("reason", "retries").agg(

@@ -5,6 +5,8 @@ payees, then devices."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +105,9 @@ def reads(rows: DataFrame, side: str, wanted: list[str] | None = None,
             move(window, True).changes[name] = -value
     for name, (pair, window) in distinct.items():
         tracks.append(Track(name))
-        moves[0].changes[name] = opens(f"{pair}_gap_prev", window)
+        # beyond the rows at hand a counterpart may be known from carried totals
+        fresh = window is None and f"{pair}_fresh" in rows.columns
+        moves[0].changes[name] = F.col(f"{pair}_fresh").cast("long") if fresh else opens(f"{pair}_gap_prev", window)
         if window is not None:
             m = move(window, False)
             ends = closes(f"{pair}_gap_next", window)
@@ -188,9 +192,46 @@ def with_flags(base: dict[str, Column]) -> list[Column]:
     return out
 
 
-def histories(events: DataFrame, hot: dict[str, list] | None = None, width: int = HOUR) -> DataFrame:
+@dataclass(frozen=True)
+class Carried:
+    """Totals of everything before a moment that lies a full window before the rows to be read. `payers` and `payees` have
+    a row per key asked for, `pairs` and `owners` one per pair of such a key."""
+    payers: DataFrame
+    payees: DataFrame
+    pairs: DataFrame
+    owners: DataFrame
+
+
+def _add_pairs(rows: DataFrame, name: str, key: list[str], totals: DataFrame) -> DataFrame:
+    """Add carried totals to what `neighbours` found. Gaps stay those among the rows at hand: windows end there."""
+    old = totals.select(*key, F.col("n").alias("~old_n"), F.col("last_us").alias("~old_last"))
+    return rows.join(old, key, "left").withColumns({
+        f"{name}_fresh": F.col(f"{name}_gap_prev").isNull() & F.col("~old_n").isNull(),
+        f"{name}_n": F.col(f"{name}_n") + F.coalesce("~old_n", F.lit(0)),
+        f"{name}_last_us": F.greatest(f"{name}_last_us", "~old_last")}).drop("~old_n", "~old_last")
+
+
+def _add_payers(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    old = totals.select("payer_vpa", F.col("n").alias("~n"), F.col("last_us").alias("~last"))
+    return rows.join(old, "payer_vpa", "left").withColumns({
+        "payer_n": F.col("payer_n") + F.coalesce("~n", F.lit(0)), "payer_last_us": F.greatest("payer_last_us", "~last")}).drop("~n", "~last")
+
+
+def _add_payees(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    names = ("n", "p2m", "payers", "total", "squares")
+    old = totals.select("payee_vpa", F.col("first_us").alias("~first_us"), *[F.col(c).alias(f"~{c}") for c in names])
+    sums = {mine: (F.col(mine) + F.coalesce(F.col(f"~{c}"), F.lit(0))).cast(kind) for mine, c, kind in (
+        ("payee_n", "n", "long"), ("payee_p2m", "p2m", "long"), ("payee_payers", "payers", "long"), ("payee_sum", "total", C.TOTAL),
+        ("payee_sq", "squares", C.SQUARES))}
+    rows = rows.join(old, "payee_vpa", "left").withColumns({**sums, "payee_first_us": F.least("payee_first_us", "~first_us")})
+    return rows.drop("~first_us", *[f"~{c}" for c in names])
+
+
+def histories(events: DataFrame, hot: dict[str, list] | None = None, width: int = HOUR,
+              carried: Carried | None = None) -> DataFrame:
     """Every as-of read of every event. `hot` maps key columns to keys that are
-    split into time slices; by default it is measured."""
+    split into time slices; by default it is measured. With `carried`, reads of
+    rows a full window after its moment count what lies before it as well."""
     hot = hot_keys(events) if hot is None else hot
     flags = {c: f"hot_{c}" for c, keys in hot.items() if keys}
     rows = events.withColumn("us", C.micros("ts"))
@@ -200,25 +241,34 @@ def histories(events: DataFrame, hot: dict[str, list] | None = None, width: int
     if not payer:
         rows = rows.repartition("payer_vpa")
     rows = payer_pairs(settle(rows, payer), payer, width)
+    if carried:
+        rows = _add_pairs(rows, "pair", ["payer_vpa", "payee_vpa"], carried.pairs)
     rows = payer_devices(settle(rows, payer), payer, width)
+    if carried:
+        rows = _add_pairs(rows, "owner", ["payer_vpa", "device_id"], carried.owners)
     rows = payer_summary(reads(settle(rows, payer), "payer", hot=payer, width=width))
+    if carried:
+        rows = _add_payers(rows, carried.payers)
     if payer:
         rows = split_median(settle(rows, payer), "payer_vpa", "amount", MONTH, "payer_median_30d", payer, width)
     else:
         rows = sliding_median(rows, "payer_vpa", "amount", MONTH, "payer_median_30d")
-    rows = payee_summary(reads(settle(rows, payee), "payee", hot=payee, width=width))
+    rows = reads(settle(rows, payee), "payee", hot=payee, width=width)
+    rows = payee_summary(_add_payees(rows, carried.payees) if carried else rows)
     rows = rows.drop("pair_gap_prev", "pair_gap_next")
     rows = reads(settle(rows, device), "device", hot=device, width=width)
     return rows.drop(*flags.values())
 
 
 def point_in_time(events: DataFrame, cold_below: int = COLD_BELOW, hot: dict[str, list] | None = None,
-                  width: int = HOUR) -> DataFrame:
-    """txn_id, time, parties, amount, labels, `is_cold` and the 51 features.
+                  width: int = HOUR, only: str | None = None, carried: Carried | None = None) -> DataFrame:
+    """txn_id, time, parties, amount, labels, `is_cold` and the 51 features; of
+    the rows where the column `only` is true, if it is named.
 
     Row order does not matter: a row sees only rows with an earlier timestamp."""
     keep = [c for c in PASS_THROUGH if c in events.columns]
-    return histories(events, hot, width).select(
+    rows = histories(events, hot, width, carried)
+    return (rows.where(only) if only else rows).select(
         *keep, (F.col("payee_n") < cold_below).alias("is_cold"), *with_flags(feature_columns()))
 
 

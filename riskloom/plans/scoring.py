@@ -13,34 +13,47 @@ from ..operators.backtest import backtest
 from ..schema import EVENT
 from ..session import materialize
 from ..sources.decision_log import BROADCAST_ROWS, DecisionLog
+from ..sources.tiered import Base, TieredHistory
 
 _NO_CODES = "array<struct<code:string,message:string,feature:string,value:string,contribution:double>>"
 
 
-def features_of(batch: DataFrame, history: DataFrame | None) -> DataFrame:
+def _touched(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the history that share a party with the batch; only they can
+    matter. The party lists of a micro-batch are broadcast once their size is
+    known."""
+    small = batch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    old = old.join(F.broadcast(batch.select("txn_id")) if small else batch.select("txn_id"), "txn_id", "left_anti")
+    touched = F.lit(False)
+    for c in ("payer_vpa", "payee_vpa", "device_id"):
+        k = batch.select(c).distinct().withColumn(f"_{c}", F.lit(True))
+        old = old.join(F.broadcast(k) if small else k, c, "left")
+        touched = touched | F.col(f"_{c}").isNotNull()
+    return old.where(touched)
+
+
+def features_of(batch: DataFrame, history: DataFrame | None, carried: ft.Carried | None = None) -> DataFrame:
     """Features of the batch rows as of their own timestamps, given everything
     recorded before. Rows of the batch see each other by time, so the order
     inside a batch does not matter; a late row is cut by its own timestamp and
-    earlier results are not revised."""
+    earlier results are not revised. `carried` stands for older rows that are
+    not in `history`."""
     cols = EVENT.names
     rows = batch.select(*cols).withColumn("_new", F.lit(True))
     if history is not None:
-        # Only histories that share a party with the batch can matter. The
-        # party lists of a micro-batch are broadcast once their size is known.
-        keys = {c: batch.select(c).distinct() for c in ("payer_vpa", "payee_vpa", "device_id")}
-        if batch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            keys = {c: F.broadcast(k.withColumn(f"_{c}", F.lit(True))) for c, k in keys.items()}
-        else:
-            keys = {c: k.withColumn(f"_{c}", F.lit(True)) for c, k in keys.items()}
-        old = history.select(*cols).join(batch.select("txn_id"), "txn_id", "left_anti")
-        touched = None
-        for c, k in keys.items():
-            old = old.join(k, c, "left")
-            touched = F.col(f"_{c}").isNotNull() if touched is None else touched | F.col(f"_{c}").isNotNull()
-        rows = rows.unionByName(old.where(touched).select(*cols).withColumn("_new", F.lit(False)))
-    new = rows.where("_new").select("txn_id")
-    wide = ft.point_in_time(rows.drop("_new"))
-    return wide.join(new, "txn_id", "left_semi") if history is not None else wide
+        rows = rows.unionByName(_touched(history.select(*cols), batch).select(*cols).withColumn("_new", F.lit(False)))
+    return ft.point_in_time(rows, only="_new", carried=carried)
+
+
+def features_from(batch: DataFrame, history: TieredHistory, base: Base | None) -> DataFrame:
+    """`features_of` the batch from a snapshot and the rows since."""
+    if base is None:
+        return features_of(batch, history.since(None))
+    keys = {c: batch.select(c).distinct() for c in ("payer_vpa", "payee_vpa")}
+    pairs = history.totals(base, "pairs", keys["payer_vpa"]).unionByName(history.totals(base, "pairs_of_payee", keys["payee_vpa"]))
+    return features_of(batch, history.since(base), ft.Carried(
+        history.totals(base, "payers", keys["payer_vpa"]), history.totals(base, "payees", keys["payee_vpa"]),
+        pairs.distinct(), history.totals(base, "owners", keys["payer_vpa"])))
 
 
 def decisions(events: DataFrame, features: DataFrame, models, thresholds: policy.Thresholds, source: str,

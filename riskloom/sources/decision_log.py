@@ -40,14 +40,20 @@ class AppendOnly:
         done = jvm.org.apache.hadoop.fs.Path(self.path, "_SUCCESS")
         return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
-    def new_rows(self, batch: DataFrame) -> DataFrame:
-        """The batch without repeats and without keys that are already stored."""
+    def new_rows(self, batch: DataFrame, own_periods: bool = False) -> DataFrame:
+        """The batch without repeats and without keys that are already stored;
+        with `own_periods`, keys are looked for in the batch's own periods only,
+        for writers that know where a repeat of a row would be."""
         rest = F.struct(*batch.columns)
         first = batch.groupBy("txn_id").agg(
             F.min_by(rest, F.struct(self.day_of, F.xxhash64(F.to_json(rest)))).alias("r")).select("r.*")
         stored = self.read()
         if stored is None:
             return first
+        if own_periods:
+            # one value per time folder that the batch writes to
+            spans = [r[0] for r in first.select(self._period()).distinct().collect()]
+            stored = stored.where(F.col("period").isin(spans))
         ids = first.select("txn_id")
         # A micro-batch is checked against the stored key column in place; a
         # large one is left to a shuffled join.
@@ -55,10 +61,13 @@ class AppendOnly:
         known = stored.select("txn_id").join(F.broadcast(ids) if small else ids, "txn_id", "left_semi")
         return first.join(known, "txn_id", "left_anti")
 
-    def append(self, batch: DataFrame) -> None:
+    def _period(self):
+        return F.to_date(F.date_trunc(self.grain, self.day_of)).alias("period")
+
+    def append(self, batch: DataFrame, own_periods: bool = False) -> None:
         if batch.isEmpty():
             return
-        rows = self.new_rows(batch).withColumn("period", F.to_date(F.date_trunc(self.grain, self.day_of)))
+        rows = self.new_rows(batch, own_periods).select("*", self._period())
         # rebalance splits large periods over tasks and gathers small ones
         rows.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(self.path)
 
@@ -77,11 +86,11 @@ class EventHistory(AppendOnly):
 class DecisionLog(AppendOnly):
     day_of = "scored_at"
 
-    def append(self, batch: DataFrame) -> None:
+    def append(self, batch: DataFrame, own_periods: bool = False) -> None:
         bad = batch.where(~F.col("source").isin(*SOURCES) | F.col("source").isNull())
         if not bad.isEmpty():
             raise ValueError(f"source must be one of {SOURCES}")
-        super().append(batch)
+        super().append(batch, own_periods)
 
     def find(self, txn_id: str) -> DataFrame:
         return self.read().where(F.col("txn_id") == txn_id)

@@ -4,13 +4,18 @@ Delivery is at least once and the outcome is one decision per transaction: the
 source offsets live in the checkpoint, repeated messages are dropped inside the
 batch and against both tables, and a batch that is run again after a crash
 writes what is still missing. There is no watermark: every event is scored as of
-its own timestamp against what is recorded by then."""
+its own timestamp against what is recorded by then.
+
+With a `TieredHistory`, a batch opens the rows of about the last two windows, the
+snapshot buckets of its own parties and one period of the log, however old the
+tables are; with an `EventHistory` it reads all of both."""
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,10 +24,11 @@ from ..functions import policy
 from ..functions.columns import AMOUNT
 from ..operators.features import first_per_txn
 from ..operators.validate import split_events
-from ..plans.scoring import decisions, features_of
+from ..plans.scoring import decisions, features_from, features_of
 from ..session import materialize
 from ..sources.decision_log import DecisionLog, EventHistory
 from ..sources.events import encode
+from ..sources.tiered import TieredHistory
 
 
 def _told(events: DataFrame, reason: str) -> DataFrame:
@@ -53,23 +59,66 @@ class Scorer:
         events = materialize(first_per_txn(good))
         run = events.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         name = f"{run}/{batch_id}"
-        stored = self.log.read()
-        fresh = events if stored is None else events.join(
-            self.log.new_rows(events.withColumn("scored_at", F.col("ts"))).select("txn_id"), "txn_id", "left_semi")
-        out = materialize(decisions(fresh, features_of(fresh, self.history.read()), self.models, self.thresholds,
-                                    self.source, self.now(), batch=name))
+        tiered = isinstance(self.history, TieredHistory)
+        if tiered:
+            span = events.agg(F.min("ts"), F.max("ts")).first()
+            if span[0] is None:
+                return
+            base = self.history.base_for(span[0].astimezone(timezone.utc))
+            at = self._begun(events.sparkSession, name)
+            fresh = self._unknown(events, base, name)
+            wide = features_from(fresh, self.history, base)
+        else:
+            at = self.now()
+            fresh = events if self.log.read() is None else events.join(
+                self.log.new_rows(events.withColumn("scored_at", F.col("ts"))).select("txn_id"), "txn_id", "left_semi")
+            wide = features_of(fresh, self.history.read())
+        out = materialize(decisions(fresh, wide, self.models, self.thresholds, self.source, at, batch=name))
         scored = F.col("action").isNotNull()
         unscored = out.where(~scored).select("event.*")
         self._bury(_told(unscored, "no score"), batch_id, "unscored")
-        self.log.append(out.where(scored))
-        self.history.append(events.join(unscored.select("txn_id"), "txn_id", "left_anti"))
+        kept = events.join(unscored.select("txn_id"), "txn_id", "left_anti")
+        if tiered:
+            # a repeated batch has the moment of its first run, so its rows can only be in that one period
+            self.log.append(out.where(scored), own_periods=True)
+            self.history.append(kept, base, name)
+            self.history.roll_if_due(span[1].astimezone(timezone.utc))
+        else:
+            self.log.append(out.where(scored))
+            self.history.append(kept)
         if self.stats:
             # counted from the log, so a batch that is repeated after the log was written counts the same rows
             logged = self.log.read()
             logged = out.where(scored) if logged is None else logged      # nothing was ever scored
+            if tiered and "period" in logged.columns:
+                logged = logged.where(F.col("period") == F.to_date(F.date_trunc(self.log.grain, F.lit(at).cast("timestamp"))))
             logged.where(F.col("batch") == name).groupBy("action").agg(F.count("*").alias("n")).write.mode(
                 "overwrite").json(f"{self.stats}/batch_id={batch_id}")
 
+    def _unknown(self, events: DataFrame, base, name: str) -> DataFrame:
+        """Rows that no other batch has recorded. What this batch itself recorded
+        before it broke off is scored again, the same way."""
+        known = self.history.since(base)
+        if known is None:
+            return events
+        others = known.where(~F.col("batch").eqNullSafe(F.lit(name))).select("txn_id")
+        return materialize(events.join(others, "txn_id", "left_anti"))
+
+    def _begun(self, spark, name: str) -> datetime:
+        """The moment of the batch's first run, noted before anything is written."""
+        path = f"{self.log.path}-begun/{name}"
+        try:
+            first = spark.read.schema("at timestamp").json(path).agg(F.min("at")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            first = None
+        if first is not None:
+            return first.astimezone(timezone.utc)
+        at = self.now()
+        spark.createDataFrame([(at,)], "at timestamp").write.mode("overwrite").json(path)
+        return at
+
     def _bury(self, rows: DataFrame, batch_id: int, kind: str) -> None:
         # overwriting the batch's own folder keeps a repeated batch from doubling it
         rows.withColumn("retries", F.lit(0)).write.mode("overwrite").json(
