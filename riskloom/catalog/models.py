@@ -19,10 +19,10 @@ from ..sources import events as ev
 from ..sources import legacy
 from ..sources import testviews as views
 from ..sources.tiered import TieredHistory
-from ..streaming import payee_state, scorer
+from ..streaming import payee_state, scorer, window_state
 from .decisions import ALERTS, CAUGHT, GROUPED, RANK
 from .explore import clean
-from .history import _group, features_sql, over
+from .history import D1, DV, H1, M1, P, PAIR, _group, features_sql, over
 from .inputs import DAYS
 from .shared import TIES, TXN, r, tidy
 
@@ -200,22 +200,22 @@ add("stream_action_counts_total", lambda sp, d: sp.read.schema("action string, n
     F.sum("n").alias("n")), f"WITH {TXN} SELECT CAST(count(DISTINCT txn_id) AS BIGINT) AS n FROM txn")
 
 
-def _state(sp, d):
+def _state(sp, d, read=lambda rows: payee_state.payee_reads(rows.withColumn("us", F.unix_micros("ts")))):
+    """Three arrivals in time order; the state goes on from the checkpoint."""
     folder = scratch(sp)
-    wide = views.txn(sp, d).withColumn("us", F.unix_micros("ts"))
-    rows = wide.select("txn_id", "payee_vpa", "payer_vpa", "amount", "txn_type", "us")
-    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    rows = views.txn(sp, d).select("txn_id", "payee_vpa", "payer_vpa", "device_id", "amount", "txn_type", "ts")
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
     step = (high - low) // 3 + 1
     name = "spark.sql.streaming.stateStore.providerClass"
     old = sp.conf.get(name)
     sp.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for i in range(3):          # three arrivals in time order; the state goes on from the checkpoint
+        for i in range(3):
             lo = low + i * step
-            rows.where((F.col("us") >= lo) & (F.col("us") < lo + step)).write.mode("append").parquet(f"{folder}/in")
+            rows.where((us >= lo) & (us < lo + step)).write.mode("append").parquet(f"{folder}/in")
             stream = sp.readStream.schema(rows.schema).parquet(f"{folder}/in")
-            q = (payee_state.payee_reads(stream).writeStream.format("parquet")
-                 .option("checkpointLocation", f"{folder}/ckpt").outputMode("append")
+            q = (read(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/ckpt").outputMode("append")
                  .trigger(availableNow=True).start(f"{folder}/out"))
             q.awaitTermination()
     finally:
@@ -224,7 +224,25 @@ def _state(sp, d):
 
 
 add("payee_state_stream", lambda sp, d: _state(sp, d).select(
-    "txn_id", "payee_n", "payee_payers", "payee_p2m", F.timestamp_micros("payee_first_us").alias("first_seen"), "late"),
+    "txn_id", "payee_n", "payee_payers", "payee_p2m", "payee_sum", F.timestamp_micros("payee_first_us").alias("first_seen"), "late"),
     f"WITH {TXN} SELECT txn_id, count(*) {over('payee_vpa')} AS payee_n, count(DISTINCT payer_vpa) {over('payee_vpa')} AS payee_payers, "
     f"count(*) FILTER (WHERE txn_type = 'P2M') {over('payee_vpa')} AS payee_p2m, min(ts) {over('payee_vpa')} AS first_seen, "
-    "false AS late FROM txn")
+    f"{r(f'coalesce(sum(x) {over("payee_vpa")}, 0)', 3)} AS payee_sum, false AS late FROM txn", digits=3)
+
+
+def _last(name):
+    return F.timestamp_micros(f"{name}_last_us").alias(f"{name}_last")
+
+
+add("payer_state_stream", lambda sp, d: _state(sp, d, lambda rows: window_state.window_reads(rows, window_state.PAYER)).select(
+    "txn_id", "payer_n_1h", "payer_n_24h", "payer_n_30d", "payer_n", "payer_sum_30d", "payer_payees_24h", _last("payer")),
+    f"WITH {TXN} SELECT txn_id, count(*) {over(P, H1)} AS payer_n_1h, count(*) {over(P, D1)} AS payer_n_24h, count(*) {over(P, M1)} AS payer_n_30d, "
+    f"count(*) {over(P)} AS payer_n, {r(f'coalesce(sum(x) {over(P, M1)}, 0)')} AS payer_sum_30d, count(DISTINCT payee_vpa) {over(P, D1)} AS payer_payees_24h, "
+    f"max(ts) {over(P)} AS payer_last FROM txn")
+add("device_state_stream", lambda sp, d: _state(sp, d, lambda rows: window_state.window_reads(rows, window_state.DEVICE)).select(
+    "txn_id", "device_n_1h", "device_payers_30d", "device_n", _last("device")),
+    f"WITH {TXN} SELECT txn_id, count(*) {over(DV, H1)} AS device_n_1h, count(DISTINCT payer_vpa) {over(DV, M1)} AS device_payers_30d, "
+    f"count(*) {over(DV)} AS device_n, max(ts) {over(DV)} AS device_last FROM txn")
+add("pair_state_stream", lambda sp, d: _state(sp, d, lambda rows: window_state.window_reads(rows, window_state.PAIR)).select(
+    "txn_id", "pair_n", _last("pair")),
+    f"WITH {TXN} SELECT txn_id, count(*) {over(PAIR)} AS pair_n, max(ts) {over(PAIR)} AS pair_last FROM txn")

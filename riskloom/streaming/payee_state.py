@@ -2,9 +2,9 @@
 
 Each payee's count, first time, amount sums, P2M count and set of payers live in
 the state store and are read before the row is added. Rows of one batch are taken
-in time order and rows of one moment do not see each other. A row older than the
-newest one already seen is flagged `late`: its figures would include later rows,
-so it should be read through the batch plan instead."""
+in time order and rows of one moment do not see each other. A row that is not newer
+than all of earlier batches is flagged `late`: its figures may include rows of its
+own moment or later, so it should be read through the batch plan instead."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ class PayeeHistory(StatefulProcessor):
         n, first, last, payers, total, p2m = self.totals.get() if self.totals.exists() else (0, None, None, 0, 0.0, 0)
         out = []
         for us, moment in batch.groupby("us", sort=True):
-            late = last is not None and us < last
+            late = last is not None and us <= last
             for r in moment.itertuples():
                 out.append((r.txn_id, key[0], n, first, payers, total, p2m, late))
             for r in moment.itertuples():

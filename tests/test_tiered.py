@@ -48,7 +48,7 @@ def test_batches_read_flat_and_equal_the_whole_history(spark, events, tmp_path):
     # rows that come after their moment, some of them before every kept snapshot
     late = {"t00011": 7, "t00042": 5, "t00043": 7}
     batch_of = lambda x: late.get(x["txn_id"], x["at"] // (30 * DAY))
-    history = TieredHistory(spark, str(tmp_path), rows_per_bucket=3)
+    history = TieredHistory(spark, str(tmp_path), rows_per_bucket=3, grain="month")
     read, seen = [], []
     earliest = lambda xs: T0 + timedelta(minutes=min(x["at"] for x in xs))
     for k in range(8):
@@ -78,7 +78,7 @@ def test_batches_read_flat_and_equal_the_whole_history(spark, events, tmp_path):
 
 def test_totals_of_a_snapshot(spark, events, tmp_path):
     data = made(400, 100, 5)
-    history = TieredHistory(spark, str(tmp_path))
+    history = TieredHistory(spark, str(tmp_path), grain="month")
     history.append(events(*data))
     history.roll(T0 + timedelta(days=40))
     more = made(30, 20, 6, first=1000)
@@ -108,7 +108,7 @@ def test_scorer_over_a_tiered_history(spark, events, models, tmp_path):
     """Stream against batch over 120 days, with repeats and a batch that breaks off between the two tables."""
     low = {r: {"t_warn": 0.05, "t_review": 0.2, "t_block": 0.5} for r in ("cold", "warm")}
     data = made(250, 120, 9)
-    s = scorer.Scorer(TieredHistory(spark, f"{tmp_path}/h", every_days=15), dl.DecisionLog(spark, f"{tmp_path}/l"), models, low,
+    s = scorer.Scorer(TieredHistory(spark, f"{tmp_path}/h", every_days=15, grain="month"), dl.DecisionLog(spark, f"{tmp_path}/l"), models, low,
                       f"{tmp_path}/dead", f"{tmp_path}/stats")
     message = lambda xs: events(*xs).select(ev.encode().alias("event"))
     for k in range(3):
