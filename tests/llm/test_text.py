@@ -201,13 +201,46 @@ def test_pipeline_near_copies(spark, corpus, monkeypatch):
     for k in sorted(names, key=lambda k: (k[0] is None, k[0] or 0)):
         first.setdefault(find(k), k)
     planted = spark.createDataFrame(rows, DOC)
-    for small, ahead in ((neardup.SMALL, neardup.NEXT), (2, 0)):                   # (2, 0): large buckets only by the second round
-        monkeypatch.setattr(neardup, "SMALL", small)
-        monkeypatch.setattr(neardup, "NEXT", ahead)
+    # (2, 0): large buckets only by the second round, in blocks of a few points
+    for small, ahead, block, direct in ((neardup.SMALL, neardup.NEXT, neardup.BLOCK, neardup.DIRECT), (2, 0, 7, 2)):
+        for name, value in (("SMALL", small), ("NEXT", ahead), ("BLOCK", block), ("DIRECT", direct)):
+            monkeypatch.setattr(neardup, name, value)
         got = corpus_pipeline.near_dedup(spark, planted, "").collect()
         assert Counter(x.doc_id for x in got) == Counter(i for i, _ in first.values()), small
 
 
+@pytest.mark.parametrize("direct", [1, 8, 48])
+def test_bucket_search_against_all_pairs(monkeypatch, direct):
+    monkeypatch.setattr(neardup, "DIRECT", direct)
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        sets = [np.zeros(0, np.int64)] * (seed % 3)
+        for _ in range(5):                                     # clouds of copies that drift apart, and loners
+            base = r.integers(0, 1 << 60, 60)
+            for _ in range(r.integers(1, 40)):
+                copy = base.copy()
+                copy[r.integers(0, 60, r.integers(0, 14))] = r.integers(0, 1 << 60)
+                sets.append(np.unique(copy[:r.integers(45, 61)]))
+        n = len(sets)
+        component = np.arange(n)
+        component[r.integers(0, n, n // 4)] = 0
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        found = neardup.Bucket(component, np.concatenate(sets), starts, 80).search(np.random.default_rng(1))
+
+        def groups(links):
+            root = component.copy()
+            for x, y in links:
+                root[root == root[x]] = root[y]
+            return np.unique(root, return_inverse=True)[1], len(np.unique(root))
+
+        held = [set(s.tolist()) for s in sets]
+        pairs = [(x, y) for x in range(n) for y in range(x) if 5 * len(held[x] & held[y]) >= 4 * len(held[x] | held[y])]
+        assert set(found) <= {p for x, y in pairs for p in ((x, y), (y, x))}
+        one, two = groups(found), groups(pairs)
+        assert one[1] == two[1] and len(set(zip(one[0], two[0]))) == one[1]
+        assert len(found) == len(np.unique(component)) - one[1]     # a forest: no link that joins nothing
+
+
 def test_katz_adds_up_and_matches_both_routes(spark, docs, monkeypatch):
     d = docs.select("doc_id", "text").withColumn("held_out", katz.held_out_of(F.col("doc_id")))
     seen = []
