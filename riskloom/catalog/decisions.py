@@ -148,8 +148,8 @@ add("expected_calibration_error", lambda sp, d: mx.calibration_error(scored(sp,
     f"{S}, {BINNED} SELECT {r('sum(n * abs(observed - predicted)) / sum(n)')} AS ece FROM b")
 add("reliability_curve", lambda sp, d: mx.reliability(scored(sp, d)),
     f"{S}, {BINNED} SELECT {big('bin')} AS bin, n, {r('predicted')} AS predicted, {r('observed')} AS observed FROM b")
-add("bootstrap_pr_auc", lambda sp, d: mx.bootstrap_pr_auc(scored(sp, d), 200))
-add("bootstrap_amount_weighted_recall", lambda sp, d: mx.bootstrap_value_recall(scored(sp, d), count=200))
+add("bootstrap_pr_auc", lambda sp, d: mx.bootstrap_pr_auc(scored(sp, d)))
+add("bootstrap_amount_weighted_recall", lambda sp, d: mx.bootstrap_value_recall(scored(sp, d)))
 _yn = "CASE WHEN score >= 0.8 THEN 'Y' ELSE 'N' END AS predicted, CASE WHEN label = 1 THEN 'Y' ELSE 'N' END AS truth"
 add("confusion_matrix", lambda sp, d: mx.confusion(scored(sp, d).select(
     F.when(F.col("score") >= 0.8, "Y").otherwise("N").alias("predicted"),

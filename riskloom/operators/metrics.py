@@ -6,12 +6,11 @@ names columns; `weight` counts a row more than once."""
 from __future__ import annotations
 
 from functools import reduce
-from itertools import accumulate
-from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bootstrap import replicate_metrics
 from .ranking import cuts, percentiles, piece, running_totals, smallest
 
 ALERT_RATES = (0.01, 0.02, 0.05)
@@ -141,40 +140,17 @@ def reliability(df: DataFrame, bins: int = 10, score="score", label="label") ->
     return _bins(df, bins, score, label)
 
 
-# Cumulative probabilities of a Poisson count with mean 1.
-POISSON = list(accumulate(exp(-1) / factorial(k) for k in range(10)))
-
-
-def replicates(df: DataFrame, count: int, key="txn_id", seed: int = 42) -> DataFrame:
-    """Poisson bootstrap: each row enters each replicate 0, 1, 2, ... times. The
-    draw hangs on the row's key only, so lost tasks repeat it exactly."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    times = reduce(Column.__add__, [F.when(u >= p, 1).otherwise(0) for p in POISSON])
-    return (df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(count))))
-            .withColumn("times", times.cast("long")).where("times > 0"))
-
-
 def bootstrap_pr_auc(df: DataFrame, count: int = 1000, score="score", label="label", seed: int = 42) -> DataFrame:
     """PR-AUC with its 95 % bootstrap interval."""
-    points = cuts(df, [score])[0]
-    draws = rank_metrics(replicates(df.select("txn_id", score, label), count, seed=seed), ("replicate",),
-                         score, label, "times", points)
-    return _interval(rank_metrics(df, score=score, label=label, points=points).select("pr_auc"), draws, "pr_auc")
+    draws = replicate_metrics(df, count, score=score, label=label, seed=seed)
+    return _interval(rank_metrics(df, score=score, label=label).select("pr_auc"), draws, "pr_auc")
 
 
 def bootstrap_value_recall(df: DataFrame, rate: float = 0.01, count: int = 1000, score="score", label="label",
                            amount="amount", seed: int = 42) -> DataFrame:
     """Amount-weighted recall at a rate with its 95 % bootstrap interval. Rows
     of one score enter a replicate's cut in proportion to their share."""
-    fraud = F.col(label) == 1
-    rows = replicates(df.select("txn_id", score, label, amount), count, seed=seed)
-    at = running_totals(rows, score, {"n": F.col("times"), "v": F.when(fraud, F.col("times") * F.col(amount)).otherwise(0.0)},
-                        ("replicate",), descending=True, points=cuts(df, [score])[0])
-    size = at.groupBy("replicate").agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
-    want = F.greatest(F.lit(1), F.bround(F.col("all_n") * rate))
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (want - F.col("n_before")) / F.col("n")))
-    draws = (at.join(size, "replicate").groupBy("replicate")
-             .agg((F.sum(F.col("v") * part) / F.max("all_v")).alias("amount_weighted_recall")))
+    draws = replicate_metrics(df, count, rate, score, label, amount, seed)
     point = alert_metrics(df, (rate,), score, label, amount).select("amount_weighted_recall")
     return _interval(point, draws, "amount_weighted_recall")
 

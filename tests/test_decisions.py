@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import messages, policy
 from riskloom.functions.registry import ALL_FEATURES
 from riskloom.operators import backtest as bt
+from riskloom.operators import bootstrap
 from riskloom.operators import drift as dr
 from riskloom.operators import metrics as mx
 from riskloom.operators import model as md
@@ -67,7 +68,40 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     assert a.ci_low < a.pr_auc < a.ci_high and mx.bootstrap_pr_auc(df, 100).first() == a
     b = mx.bootstrap_value_recall(df, 0.05, 100).first()
     assert b.ci_low <= b.amount_weighted_recall <= b.ci_high
-    assert mx.POISSON[0] == pytest.approx(0.36787944) and mx.POISSON[-1] > 0.9999998
+
+
+def test_replicates_against_plain_sums(spark, monkeypatch):
+    """Every replicate, from the same draws, by walking the score groups one after the other."""
+    r = np.random.default_rng(3)
+    rows = [(f"t{i}", float(r.integers(0, 40)) / 40, int(r.random() < 0.2), float(r.integers(1, 5))) for i in range(900)]
+    rows += [("z", 0.5, 1, None), ("y", 0.5, None, 3.0)]
+    df = spark.createDataFrame(rows, "txn_id string, score double, label int, amount double").repartition(3)
+    monkeypatch.setattr(bootstrap, "ROWS", 7)
+    for amount in (None, "amount"):
+        got = {x.replicate: x for x in bootstrap.replicate_metrics(df, 20, 0.1, amount=amount).collect()}
+        worth = F.when(F.col("label") == 1, F.coalesce("amount", F.lit(0.0))).otherwise(0.0) if amount else F.lit(0.0)
+        groups = df.select(F.col("score").alias("s"), F.coalesce(F.col("label") == 1, F.lit(False)).cast("int").alias("pos"), worth.alias("amount")).groupBy(
+            "s", "pos", "amount").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("s", "pos", "amount")).collect()
+        drawn = bootstrap.draws(np.array([g.key for g in groups]), np.array([g.n for g in groups]), 20, 42)
+        for k in range(20):
+            per = {}
+            for g, d in zip(groups, drawn[:, k]):
+                n, p, v = per.get(g.s, (0, 0, 0))
+                per[g.s] = (n + d, p + d * g.pos, v + d * g.pos * g.amount)
+            all_n, all_p, all_v = (sum(x[c] for x in per.values()) for c in range(3))
+            want, seen, hits, ap, value = max(1, round(all_n * 0.1)), 0, 0, 0, 0
+            for s in sorted(per, reverse=True):
+                n, p, v = per[s]
+                value += v * min(1, max(0, (want - seen) / n)) if n else 0
+                seen, hits = seen + n, hits + p
+                ap += p * hits / seen if seen else 0
+            assert got[k + 1].pr_auc == pytest.approx(ap / all_p)
+            assert got[k + 1].amount_weighted_recall == (pytest.approx(value / all_v) if all_v else None)
+    # draws have the mean and the spread of a sum of n single draws
+    many = bootstrap.draws(np.arange(400), np.full(400, 9), 500, 1)
+    assert abs(many.mean() - 9) < 0.1 and abs(many.var() - 9) < 0.3
+    none = bootstrap.replicate_metrics(df.limit(0), 5).collect()
+    assert len(none) == 5 and all(x.pr_auc is None for x in none)
 
 
 def test_running_totals_match_one_window(spark):
