@@ -17,7 +17,7 @@ from ..sources import legacy
 from ..sources import testviews as views
 from .decisions import D, FROM, TO, WINDOW
 from .history import features_sql, over
-from .shared import TXN, big, r, tidy
+from .shared import DECISIONS, LABELS, TXN, big, r, tidy
 
 QUERIES, SQL = {}, {}
 
@@ -152,6 +152,43 @@ add("decision_log_append", _appended(dl.DecisionLog, "scored_at"), _APPENDED)
 add("history_append", _appended(dl.EventHistory, "ts"), _APPENDED)
 
 
+def _found(sp, d):
+    """Each of a few ids looked up in the log, and how often it is there."""
+    log = dl.DecisionLog(sp, f"{scratch(sp)}/log", "year")
+    log.append(views.decisions(sp, d).select("txn_id", "scored_at", "action", "source"))
+    log.append(views.decisions(sp, d).where("id % 2 = 0").select("txn_id", "scored_at", F.lit("BLOCK").alias("action"), "source"))
+    ids = ["txn-1", "txn-2", "txn-7", "txn-none"]
+    found = log.find(ids[0])
+    for one in ids[1:]:
+        found = found.unionByName(log.find(one))
+    counts = sp.createDataFrame([(one, log.count(one)) for one in ids], "txn_id string, n long")
+    return counts.join(found.drop("period"), "txn_id", "left")
+
+
+add("decision_find", _found,
+    f"{D} SELECT i.txn_id, count(d.txn_id) OVER (PARTITION BY i.txn_id) AS n, scored_at, action, source "
+    "FROM (VALUES ('txn-1'), ('txn-2'), ('txn-7'), ('txn-none')) i(txn_id) LEFT JOIN decisions d USING (txn_id)")
+
+
+def _labelled(sp, d):
+    """Labels appended in two goes, some of them bad, read back; and what was refused."""
+    store = dl.ReviewLabels(sp, f"{scratch(sp)}/labels")
+    known, rows = views.decisions(sp, d), views.review_labels(sp, d)
+    odd = F.col("decision_id") % 5 == 1
+    first = rows.where("decision_id % 2 = 0").withColumn("disposition", F.when(odd, "MAYBE").otherwise(F.col("disposition")))
+    second = rows.where("decision_id % 2 = 1").withColumn("decision_id", F.when(odd, -F.col("decision_id")).otherwise(F.col("decision_id")))
+    refused = store.append(first, known).unionByName(store.append(second, known))
+    shown = ("decision_id", "disposition", "reviewer_id", "reviewed_at")
+    return store.read().select(*shown, F.lit("accepted").alias("reason")).unionByName(refused.select(*shown, "reason"))
+
+
+add("review_labels_append", _labelled,
+    f"WITH {DECISIONS}, {LABELS} SELECT CASE WHEN decision_id % 5 = 1 AND decision_id % 2 = 1 THEN -decision_id ELSE decision_id END AS decision_id, "
+    "CASE WHEN decision_id % 5 = 1 AND decision_id % 2 = 0 THEN 'MAYBE' ELSE disposition END AS disposition, reviewer_id, reviewed_at, "
+    "CASE WHEN decision_id % 5 <> 1 THEN 'accepted' WHEN decision_id % 2 = 0 THEN 'invalid disposition' ELSE 'unknown decision' END AS reason "
+    "FROM review_labels")
+
+
 def _audit(sp, d):
     log = dl.DecisionLog(sp, f"{scratch(sp)}/log", "month")
     rows = views.decisions(sp, d).select("txn_id", "id", "scored_at", "action", "source")

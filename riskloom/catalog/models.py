@@ -20,7 +20,7 @@ from ..sources import legacy
 from ..sources import testviews as views
 from ..sources.tiered import TieredHistory
 from ..streaming import payee_state, scorer, window_state
-from .decisions import ALERTS, CAUGHT, GROUPED, RANK
+from .decisions import ALERTS, CAUGHT, GROUPED, RANK, S, scored
 from .explore import clean
 from .history import D1, DV, H1, M1, P, PAIR, _group, features_sql, over
 from .inputs import DAYS
@@ -246,3 +246,55 @@ add("device_state_stream", lambda sp, d: _state(sp, d, lambda rows: window_state
 add("pair_state_stream", lambda sp, d: _state(sp, d, lambda rows: window_state.window_reads(rows, window_state.PAIR)).select(
     "txn_id", "pair_n", _last("pair")),
     f"WITH {TXN} SELECT txn_id, count(*) {over(PAIR)} AS pair_n, max(ts) {over(PAIR)} AS pair_last FROM txn")
+
+
+# --- late and repeated events --------------------------------------------------------
+_HORIZON = 5 * D1
+_ID = "CAST(substring(txn_id, 2) AS BIGINT)"
+
+
+def _deduped(sp, d):
+    """Three arrivals. The second and third also bring rows of the one before again; rows held back from the first third come
+    with the last one, beyond the horizon, and some of the second third within it."""
+    folder = scratch(sp)
+    rows = materialize(views.txn(sp, d).select("txn_id", "ts", "amount"))
+    us, n = F.unix_micros("ts"), F.expr(_ID)
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    step = (high - low) // 3 + 1
+    third = F.floor((us - low) / step).cast("int")
+    held = ((third == 0) & (n % 97 == 0)) | ((third == 1) & (n % 97 == 1))
+    for i in range(3):
+        part = rows.where((third == i) & ~held)
+        if i:
+            part = part.unionByName(rows.where((third == i - 1) & ~held & (n % 10 == 0)))
+        if i == 2:
+            part = part.unionByName(rows.where(held))
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = sp.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        q = (scorer.without_repeats(stream, f"{_HORIZON} microseconds").writeStream.format("parquet")
+             .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start(f"{folder}/out"))
+        q.awaitTermination()
+    return sp.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+add("stream_without_repeats", _deduped,
+    f"WITH {TXN}, e AS (SELECT *, {_ID} AS n, min(us) OVER () AS lo, max(us) OVER () AS hi FROM txn), "
+    "t AS (SELECT *, (us - lo) // ((hi - lo) // 3 + 1) AS third FROM e), "
+    "w AS (SELECT max(us) FILTER (WHERE third = 1 AND n % 97 <> 1) // 1000 * 1000 - " + str(_HORIZON) + " AS mark FROM t) "
+    f"SELECT txn_id, ts, {r('amount')} AS amount FROM t, w "
+    "WHERE NOT (third = 0 AND n % 97 = 0) AND NOT (third = 1 AND n % 97 = 1 AND us <= mark)")
+
+
+def _late(sp, d):
+    """Events that arrive after all others are scored as of their own moment."""
+    rows = materialize(views.txn(sp, d))
+    late = F.expr(_ID) % 97 == 0
+    store = TieredHistory(sp, f"{scratch(sp)}/late", grain="month")
+    store.append(rows.where(~late))
+    return scoring.features_from(rows.where(late), store, None).select("txn_id", *_tiered_names)
+
+
+add("late_event_features", _late, f"SELECT * FROM ({features_sql(_tiered_names)}) q WHERE {_ID} % 97 = 0")
+add("bootstrap_interval_holds", lambda sp, d: mx.bootstrap_pr_auc(scored(sp, d)).select(
+    "pr_auc", F.col("pr_auc").between(F.col("ci_low"), F.col("ci_high")).alias("inside")),
+    f"{S}, {GROUPED} SELECT pr_auc, true AS inside FROM ({RANK})")

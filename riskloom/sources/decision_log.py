@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.monitor import review_split
 from ..schema import SOURCES
 
 BROADCAST_ROWS = 1_000_000
@@ -100,6 +101,24 @@ class DecisionLog(AppendOnly):
         return 0 if stored is None else self.find(txn_id).count()
 
 
+class ReviewLabels:
+    """The reviewers' labels: every accepted label is a row, later ones stand beside earlier ones."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        return AppendOnly(self.spark, self.path).read()
+
+    def append(self, labels: DataFrame, decisions: DataFrame) -> DataFrame:
+        """Append the labels that name a known disposition and decision; the others come back with their reason."""
+        good, bad = review_split(labels, decisions)
+        rows = good.select("*", F.to_date("reviewed_at").alias("period"))
+        if not rows.isEmpty():
+            rows.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(self.path)
+        return bad
+
+
 def write_report(df: DataFrame, folder: str, name: str, generated_at) -> str:
     """Append a report table as JSON, stamped with its time."""
     path = f"{folder}/{name}"
