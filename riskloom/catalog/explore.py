@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bayes
 from ..operators import explore as ex
+from ..operators import neighbours as nb
 from ..sources import legacy
 from .inputs import LEGACY_CTE, legacy_view
 from .shared import r, tidy
@@ -123,3 +125,58 @@ def _fit(kind):
 for _kind in ("naive_bayes", "decision_tree", "random_forest"):
     add(f"fit_{_kind}", _fit(_kind))
 add("cross_validation_accuracy", _fold("naive_bayes"))
+
+
+# --- all folds of a Gaussian naive Bayes from one pass of sums --------------------------
+_cols = list(legacy.FEATURES)
+
+
+def _nb_sql():
+    k = range(len(_cols))
+    value = lambda c: f"({c} = 'Y')::DOUBLE" if c in legacy.YES_NO else f"CAST({c} AS DOUBLE)"
+    each = lambda f: ", ".join(f(i) for i in k)
+    var = lambda i: f"(q{i} / n - power(s{i} / n, 2) + extra)"
+    return f"""WITH {CLEAN}, raw AS (
+  SELECT row_id, CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold, (isFradulent = 'Y')::BIGINT AS y,
+    {each(lambda i: f"{value(_cols[i])} AS r{i}")} FROM clean),
+x AS (SELECT row_id, fold, y, {each(lambda i: f"r{i} - avg(r{i}) OVER () AS x{i}")} FROM raw),
+m AS (
+  SELECT f.fold, x.y, count(*) AS n, {each(lambda i: f"sum(x{i}) AS s{i}, sum(x{i} * x{i}) AS q{i}")}
+  FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY f.fold, x.y),
+e AS (
+  SELECT fold, sum(n) AS total, 1e-9 * greatest({each(lambda i: f"sum(q{i}) / sum(n) - power(sum(s{i}) / sum(n), 2)")}) AS extra FROM m GROUP BY fold),
+p AS (
+  SELECT x.row_id, x.fold, x.y, m.y AS guess, ln(n / total) - 0.5 * ({" + ".join(f"ln(2 * pi() * {var(i)}) + power(x{i} - s{i} / n, 2) / {var(i)}" for i in k)}) AS score
+  FROM x JOIN m ON m.fold = x.fold JOIN e ON e.fold = x.fold),
+b AS (SELECT row_id, fold, y, guess FROM p QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, guess) = 1)
+SELECT fold, count(*) AS n, {r('avg((guess = y)::INT)')} AS accuracy FROM b GROUP BY fold"""
+
+
+add("cross_validation_naive_bayes", lambda sp, d: bayes.cross_validate(_model_rows(sp, d), _cols, legacy.TARGET, "row_id"), _nb_sql())
+
+# --- nearest neighbours and synthetic minority rows -------------------------------------
+_space = ["TransactionAmount", "AverageAmountTransactionDay", "TotalNumberOfDeclinesDay", "DailyChargebackAvgAmt"]
+
+
+def _minority(sp, d):
+    return clean(sp, d).where("isFradulent = 'Y'")
+
+
+def _synthetic(sp, d):
+    """The class sizes that the synthetic rows lead to, and whether each lies on the segment between its two rows."""
+    made = nb.synthetic_minority(clean(sp, d), "row_id", legacy.TARGET, "Y", _space)
+    own = _minority(sp, d)
+    ends = made.join(own.select(F.col("row_id").alias("base"), *[F.col(c).alias(f"a_{c}") for c in _space]), "base").join(
+        own.select(F.col("row_id").alias("neighbour"), *[F.col(c).alias(f"b_{c}") for c in _space]), "neighbour")
+    between = F.forall(F.array(*[F.col(c).between(F.least(f"a_{c}", f"b_{c}") - 1e-6, F.greatest(f"a_{c}", f"b_{c}") + 1e-6) for c in _space]), lambda x: x)
+    return ends.agg(F.count("*").alias("made"), F.count_if(between).alias("between"), F.count_distinct("base").alias("bases"))
+
+
+_d2 = " + ".join(f"(CAST(a.{c} AS DOUBLE) - b.{c}) * (CAST(a.{c} AS DOUBLE) - b.{c})" for c in _space)
+add("minority_neighbours", lambda sp, d: nb.nearest_neighbours(_minority(sp, d), "row_id", _space),
+    f"WITH {CLEAN}, y AS (SELECT * FROM clean WHERE isFradulent = 'Y'), p AS (SELECT a.row_id AS id, b.row_id AS neighbour, {_d2} AS d2 "
+    "FROM y a JOIN y b ON a.row_id <> b.row_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, neighbour) AS rank FROM p) "
+    f"SELECT id, rank, neighbour, {r('sqrt(d2)', 3)} AS distance FROM k WHERE rank <= 5", 3)
+add("synthetic_minority_rows", _synthetic,
+    f"WITH {CLEAN}, c AS (SELECT count(*) FILTER (WHERE isFradulent = 'N') AS n, count(*) FILTER (WHERE isFradulent = 'Y') AS y FROM clean) "
+    "SELECT n - y AS made, n - y AS between, least(y, n - y) AS bases FROM c")
