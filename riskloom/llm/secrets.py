@@ -1,7 +1,8 @@
 """Find secrets in texts, with a random forest that takes out false findings.
 
-Candidates are runs of key characters with a digit among them. A text is split around them, so that finding them, their
-places and the text beside them is linear in its length. Each gets its length, character transitions, the share of its
+Candidates are runs of key characters with a digit among them, of any length. A text is split around them; each then is a
+small row of its own, with the text beside it, and running sums over a text's rows give the places. So the work is
+linear in the length of a text, and no row holds more than one candidate. Each gets its length, character transitions, the share of its
 letters that are dictionary words, traits of its path and of the neighbouring words; a forest fitted on labelled findings
 gives the probability that it is a secret. All of it is DataFrame and JVM work.
 
@@ -19,12 +20,13 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
 
 LEAST, BESIDE = 8, 48
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 WORD_SHARE, LABELLED_ROWS = 1e-5, 20_000
 TREES, DEPTH, SEED = 40, 6, 7
 KEY_WORD = r"(?i)(pass(word|wd)?|token|secret|api|key|auth|credential|private|bearer)"
@@ -38,12 +40,13 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     rows = docs.filter(text.rlike(CANDIDATE)).select(
         "doc_id", F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"),
         F.split(text, CANDIDATE, -1).alias("between"))
-    rows = rows.select("doc_id", "path", "between", F.posexplode("hits").alias("k", "found"), "hits")
-    k = F.col("k")
-    before = F.aggregate(F.slice("between", F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.length(x))
-    past = F.aggregate(F.slice("hits", F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-    return rows.select("doc_id", "path", "found", (before + past).cast("long").alias("place"),
-                       F.right(F.get("between", k), F.lit(BESIDE)).alias("left"), F.left(F.get("between", k + 1), F.lit(BESIDE)).alias("right"))
+    one = F.transform("hits", lambda x, k: F.struct(
+        k.alias("k"), x.alias("found"), F.right(F.get("between", k), F.lit(BESIDE)).alias("left"),
+        F.left(F.get("between", k + 1), F.lit(BESIDE)).alias("right"), F.length(F.get("between", k)).cast("long").alias("gap")))
+    # numbered before the rows are taken apart: rows alike in all columns stay apart
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "path", "row", F.inline(one))
+    passed = F.sum(F.col("gap") + F.length("found")).over(W.partitionBy("row").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    return rows.select("doc_id", "path", "found", (F.coalesce(passed, F.lit(0)) + F.col("gap")).alias("place"), "left", "right")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
