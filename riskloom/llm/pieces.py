@@ -3,15 +3,17 @@
 The merges come from a public model file (read on the driver, 32,000 pieces, sent to the tasks). A text is cut where no
 piece can reach across: before runs of blanks and around line ends. Each part goes through an agenda of candidate
 merges, best score first, leftmost among equals; a candidate that comes up is skipped when a keyed hash of (seed,
-stream, part, place) falls under the dropout rate. Segmentations so depend on the seed and the place only, never on task
-order, and repeat after a lost executor. Parts rotate through a few dropout streams by their place in the document, so
-the same word is segmented in several ways within one document while finished parts can be remembered.
+document id, number of the part, place and length of the merge) falls under the dropout rate. Segmentations so depend on
+the seed, the document and the place only, never on task order, and repeat after a lost executor; every occurrence of a
+word has a draw of its own. What does not hang on the draw is remembered: the undropped segmentation of a part and the
+merges that lead to it. An occurrence that skips none of them is that segmentation; the others go through the agenda.
 
 With dropout 0 the ids equal those of the library (save for U+2581, which the library turns into a blank; here it goes
 through byte pieces, so that every text decodes to itself).
 
 Defined results: NULL texts give NULL ids and decode to NULL; empty texts give no ids. Repeated rows of one id give
-equal ids. Empty tables give empty tables. Output columns replace columns of the input with their names.
+equal ids; rows without id draw by their text. Empty tables give empty tables. Output columns replace columns of the
+input with their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,11 @@ from .common import bounded_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MASK = (1 << 64) - 1
-#: Characters of segmented parts that one Python worker remembers before it starts anew, and documents taken at once.
-REMEMBERED, AT_ONCE = 1_500_000, 250
+#: Characters of parts whose undropped segmentation one Python worker remembers before it starts anew, documents taken at
+#: once, occurrences of parts drawn at once, and the longest part that is remembered (longer ones always run on their own).
+REMEMBERED, AT_ONCE, DRAWN_AT_ONCE, SHORT = 1_500_000, 250, 200_000, 32
+#: Multipliers of the hash that decides a skip.
+BY_PLACE, BY_LENGTH, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 
 def load(path: str = MODEL) -> dict:
@@ -94,16 +100,47 @@ class PairTable:
 NEVER = np.int32(2**31 - 1)
 
 
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
-    def __init__(self, model: dict, dropout: float = 0.1, seed: int = 0, streams: int = 4):
+    def __init__(self, model: dict, dropout: float = 0.1, seed: int = 0):
         self.ids, self.cost, self.byte_id, self.bytes = model["ids"], model["cost"], model["byte_id"], model["bytes"]
         self.words, self.lines = model["words"], model["lines"]
-        self.streams = streams if dropout > 0 else 1
         self.seed = seed
         self.limit = int(dropout * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.held = 0
         self.pairs = PairTable(self.ids, self.cost)
+        self.forget()
+
+    def forget(self) -> None:
+        """Undropped ids and merges of the known parts, one after the other, and where each part's begin."""
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.plain, self.merges = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        self.plain_at, self.merges_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def key(self, doc, text: str) -> int:
+        """A document's key: from its id, or from its text where it has none."""
+        data = b"t" + text.encode("utf-8", "surrogatepass") if doc is None else f"d{doc}".encode()
+        return xxhash.xxh64_intdigest(data, self.seed & MASK)
+
+    @staticmethod
+    def part_keys(keys: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Key of each occurrence from its document's key and its number in the document."""
+        with np.errstate(over="ignore"):
+            z = keys + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(BY_PLACE)
+            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            return z ^ z >> np.uint64(31)
+
+    def skipped(self, key: np.ndarray, merge: np.ndarray) -> np.ndarray:
+        """Whether the draw of an occurrence skips a merge; merge: place * BY_PLACE + length * BY_LENGTH."""
+        with np.errstate(over="ignore"):
+            x = (key ^ merge) * np.uint64(MIX)
+            return ((x ^ x >> np.uint64(29)) * np.uint64(MIX2) >> np.uint64(32)) < np.uint64(self.limit)
 
     def parts(self, text: str) -> list[str]:
         """Parts that are segmented on their own; joined they are the text with its leading blank."""
@@ -134,14 +171,14 @@ class Encoder:
             out.append(BLANK * blanks)
         return out
 
-    def segment(self, part: str, stream: int, literal: bool = False) -> bytes:
-        """Ids as little-endian 32-bit numbers, through the agenda. literal: the part holds U+2581 of the text itself, marked as U+0000 + U+2581 before."""
-        cost, limit = self.cost, self.limit
+    def segment(self, part: str, key: int | None = None, literal: bool = False) -> tuple[list[int], list[int]]:
+        """Ids of one part and the merges that were made, through the agenda; without a key none is skipped. literal: the part
+        holds U+2581 of the text itself, marked as U+0000 + U+2581 before."""
+        cost, limit = self.cost, 0 if key is None else self.limit
         sym = re.findall("\x00▁|.", part, re.S) if literal else list(part)
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = self._key(part, stream)
-        agenda = []
+        agenda, made = [], []
         for i in range(n - 1):
             c = cost.get(sym[i] + sym[i + 1])
             if c is not None:
@@ -151,10 +188,12 @@ class Encoder:
             c, i, j, piece = heapq.heappop(agenda)
             if sym[i] is None or sym[j] is None or after[i] != j or sym[i] + sym[j] != piece:
                 continue
+            merge = i * BY_PLACE + len(piece) * BY_LENGTH & MASK
             if limit:
-                x = (key ^ (i * 0x9E3779B97F4A7C15 + len(piece) * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD & MASK
-                if (x ^ x >> 29) * 0xC4CEB9FE1A85EC53 >> 32 & 0xFFFFFFFF < limit:
+                x = (key ^ merge) * MIX & MASK
+                if (x ^ x >> 29) * MIX2 >> 32 & 0xFFFFFFFF < limit:
                     continue
+            made.append(merge)
             sym[i], sym[j] = piece, None
             k = after[i] = after[j]
             if k < n:
@@ -177,107 +216,145 @@ class Encoder:
                     out += [self.byte_id[b] for b in s.lstrip("\x00" if literal and len(s) > 1 else "").encode()]
                 else:
                     out.append(i)
-        return np.array(out, "<i4").tobytes()
+        return out, made
 
-    def _key(self, part: str, stream: int) -> int:
-        return xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), (self.seed * 64 + stream) & MASK) if self.limit else 0
-
-    def segment_many(self, wanted: list[tuple[str, int]]) -> list[bytes]:
-        """`segment` for many short parts at once: the same agenda, one candidate of every part per round."""
+    def segment_many(self, wanted: list[str], key: np.ndarray | None = None):
+        """`segment` for many short parts at once: the same agenda, one candidate of every part per round. Ids of all parts,
+        their count per part, and the same of the merges (only without keys)."""
         table, m = self.pairs, len(wanted)
-        size = np.fromiter((len(p) for p, _ in wanted), np.int64, m)
+        size = np.fromiter(map(len, wanted), np.int64, m)
         width = int(size.max())
-        start = np.cumsum(size) - size
-        codes = np.frombuffer("".join([p for p, _ in wanted]).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join(wanted).encode("utf-32-le"), np.uint32)
         sym = np.full((m, width + 1), -1, np.int32)
-        row = np.repeat(np.arange(m), size)
-        sym[row, np.arange(len(codes)) - start[row]] = table.char[codes]
-        key = np.array([self._key(p, s) for p, s in wanted], np.uint64)
-        after = np.broadcast_to(np.arange(1, width + 2), (m, width + 1)).copy()
-        before = np.broadcast_to(np.arange(-1, width), (m, width + 1)).copy()
+        sym[np.repeat(np.arange(m), size), gather(np.zeros(m, np.int64), size)] = table.char[codes]
+        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), (m, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (m, width + 1)).copy()
         level = np.full((m, width + 1), NEVER, np.int32)
         merged = np.zeros((m, width + 1), np.int32)
         level[:, :-1], merged[:, :-1] = table.find(sym[:, :-1], sym[:, 1:])
-        live = np.arange(m)
+        live, rows, merges = np.arange(m), [], []
         with np.errstate(over="ignore"):
             while len(live):
                 i = level[live].argmin(1)
                 go = level[live, i] < NEVER
-                live, i = live[go], i[go]
-                piece = merged[live, i]
-                if self.limit:
-                    x = (key[live] ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + table.length[piece] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
-                    skip = ((x ^ x >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(32)) < np.uint64(self.limit)
-                    level[live[skip], i[skip]] = NEVER
-                    r, i, piece = live[~skip], i[~skip], piece[~skip]
-                else:
-                    r = live
+                r, i = live[go], i[go]
+                live = r
+                piece = merged[r, i]
+                merge = i.astype(np.uint64) * np.uint64(BY_PLACE) + table.length[piece] * np.uint64(BY_LENGTH)
+                if key is None:
+                    rows.append(r)
+                    merges.append(merge)
+                elif self.limit:
+                    skip = self.skipped(key[r], merge)
+                    level[r[skip], i[skip]] = NEVER
+                    r, i, piece = r[~skip], i[~skip], piece[~skip]
                 j = after[r, i]
                 k = after[r, j]
+                end = np.minimum(k, width)
                 sym[r, i], sym[r, j], level[r, j] = piece, -1, NEVER
                 after[r, i] = k
-                before[r, np.minimum(k, width)] = i
-                level[r, i], merged[r, i] = table.find(piece, sym[r, np.minimum(k, width)])
+                before[r, end] = i
+                level[r, i], merged[r, i] = table.find(piece, sym[r, end])
                 h = before[r, i]
                 has = h >= 0
                 r, h, piece = r[has], h[has], piece[has]
                 level[r, h], merged[r, h] = table.find(sym[r, h], piece)
         alive = sym >= 0
-        flat = table.piece_id[sym[alive]].astype("<i4").tobytes()
-        ends = (np.cumsum(alive.sum(1)) * 4).tolist()
-        return [flat[a:z] for a, z in zip([0, *ends], ends)]
-
-    def learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Segment parts that are not known yet: short plain ones all at once, others one by one."""
-        self.held += sum(len(p) for p, _ in wanted)
-        table = self.pairs
-        by_size: dict[int, list[tuple[str, int]]] = {}
-        for p, s in wanted:
-            if 1 < len(p) <= 32:
-                by_size.setdefault((len(p) + 3) // 4, []).append((p, s))
-            else:
-                self.known[s][p] = self.segment(p, s)
-        for alike in by_size.values():
-            for i in range(0, len(alike), 20_000):
-                block = alike[i:i + 20_000]
-                codes = table.char[np.frombuffer("".join([p for p, _ in block]).encode("utf-32-le"), np.uint32)]
-                plain = (codes >= 0) & (table.piece_id[codes] >= 0)
-                size = np.fromiter((len(p) for p, _ in block), np.int64, len(block))
-                ok = np.logical_and.reduceat(plain, np.cumsum(size) - size).tolist()
-                for p, s in (x for x, y in zip(block, ok) if not y):     # these go through bytes
-                    self.known[s][p] = self.segment(p, s)
-                block = [x for x, y in zip(block, ok) if y]
-                if block:
-                    for (p, s), ids in zip(block, self.segment_many(block)):
-                        self.known[s][p] = ids
-
-    def encode_all(self, texts: list[str], places: list[int]) -> list[np.ndarray]:
-        """place: where a document starts in the rotation of streams."""
-        n = self.streams
-        if self.held > REMEMBERED:
-            self.known, self.held = [{} for _ in range(n)], 0
-        cut = [None if BLANK in text else self.parts(text) for text in texts]
-        fresh: list[set[str]] = [set() for _ in range(n)]
-        for parts, place in zip(cut, places):
-            if parts:
-                for s in range(n):
-                    fresh[s].update(parts[(s - place) % n::n])
-        self.learn([(p, s) for s in range(n) for p in sorted(fresh[s].difference(self.known[s]))])
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        merge = np.concatenate(merges)[np.argsort(row, kind="stable")] if rows else np.zeros(0, np.uint64)
+        return table.piece_id[sym[alive]], alive.sum(1), merge, np.bincount(row, minlength=m)
+
+    def whole(self, wanted: list[str]) -> np.ndarray:
+        """Which short parts are made of characters that are pieces; the others go through bytes."""
+        codes = self.pairs.char[np.frombuffer("".join(wanted).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        return np.logical_and.reduceat((codes >= 0) & (self.pairs.piece_id[codes] >= 0), np.cumsum(size) - size)
+
+    def run(self, wanted: list[str], key: np.ndarray | None = None):
+        """Ids, counts, merges and their counts of many parts in the given order: short plain ones in blocks of like length,
+        others one by one."""
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        many = (size > 1) & (size <= SHORT)
+        if many.any():
+            at = np.flatnonzero(many)
+            many[at] = self.whole([wanted[x] for x in at])
+        order, found = [], []
+        for alike in np.unique((size[many] + 3) // 4):
+            at = np.flatnonzero(many & ((size + 3) // 4 == alike))
+            for k in range(0, len(at), 20_000):
+                block = at[k:k + 20_000]
+                order.append(block)
+                found.append(self.segment_many([wanted[x] for x in block], None if key is None else key[block]))
+        rest = np.flatnonzero(~many)
+        if len(rest):
+            one = [self.segment(wanted[x], None if key is None else int(key[x])) for x in rest]
+            order.append(rest)
+            found.append((np.array([i for ids, _ in one for i in ids], np.int32), np.array([len(ids) for ids, _ in one]),
+                          np.array([i for _, made in one for i in made], np.uint64), np.array([len(made) for _, made in one])))
+        back = np.argsort(np.concatenate(order))
         out = []
-        for text, parts, place in zip(texts, cut, places):
-            if parts is None:
+        for flat, count in ((0, 1), (2, 3)):
+            n = np.concatenate([f[count] for f in found]).astype(np.int64)
+            start = (np.cumsum(n) - n)[back]
+            out += [np.concatenate([f[flat] for f in found])[gather(start, n[back])] if key is None or flat == 0 else None, n[back]]
+        return out
+
+    def learn(self, wanted: list[str]) -> None:
+        """Remember the undropped ids and merges of parts; of long ones only that they are always run."""
+        if not wanted:
+            return
+        self.held += sum(map(len, wanted))
+        ids, n, merges, made = self.run(wanted)
+        self.known.update(zip(wanted, range(len(self.known), len(self.known) + len(wanted))))
+        self.plain, self.merges = np.concatenate([self.plain, ids]), np.concatenate([self.merges, merges])
+        self.plain_at = np.concatenate([self.plain_at, self.plain_at[-1] + np.cumsum(n)])
+        self.merges_at = np.concatenate([self.merges_at, self.merges_at[-1] + np.cumsum(made)])
+
+    def occurrences(self, flat: list[str], key: np.ndarray):
+        """Ids and counts of occurrences of parts with their keys."""
+        always = np.fromiter(map(len, flat), np.int64, len(flat)) > SHORT
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        again = always.copy()
+        if self.limit:
+            start = np.where(always, 0, self.merges_at[at])
+            made = np.where(always, 0, self.merges_at[at + 1] - start)
+            skip = self.skipped(np.repeat(key, made), self.merges[gather(start, made)])
+            again[np.repeat(np.arange(len(flat)), made)[skip]] = True
+        start = np.where(again, 0, self.plain_at[at])
+        n = np.where(again, 0, self.plain_at[at + 1] - start)
+        source = self.plain
+        if again.any():
+            mine = np.flatnonzero(again)
+            ids, size, _, _ = self.run([flat[x] for x in mine], key[mine])
+            source = np.concatenate([source, ids])
+            start[mine], n[mine] = len(self.plain) + np.cumsum(size) - size, size
+        return source[gather(start, n)], n
+
+    def encode_all(self, texts: list[str], docs: list) -> list[np.ndarray]:
+        """docs: the ids of the texts' documents."""
+        if self.held > REMEMBERED:
+            self.forget()
+        keys = np.array([self.key(d, t) for d, t in zip(docs, texts)], np.uint64)
+        cut = [[] if BLANK in text else self.parts(text) for text in texts]
+        flat = [p for parts in cut for p in parts]
+        self.learn([p for p in dict.fromkeys(flat) if len(p) <= SHORT and p not in self.known])
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        drawn = self.part_keys(np.repeat(keys, size), gather(np.zeros(len(cut), np.int64), size))
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(flat), DRAWN_AT_ONCE):
+            i, n = self.occurrences(flat[k:k + DRAWN_AT_ONCE], drawn[k:k + DRAWN_AT_ONCE])
+            ids.append(i)
+            counts.append(n)
+        ids, ends = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])[np.concatenate([[0], np.cumsum(size)])]
+        out = [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
+        for i, text in enumerate(texts):
+            if BLANK in text:
                 part = BLANK + text.replace(BLANK, "\x00" + BLANK).replace(" ", BLANK)
-                out.append(np.frombuffer(self.segment(part, place % n, True), "<i4"))
-                continue
-            found: list = [None] * len(parts)
-            for s in range(n):
-                o = (s - place) % n
-                found[o::n] = map(self.known[s].__getitem__, parts[o::n])
-            out.append(np.frombuffer(b"".join(found), "<i4"))
+                out[i] = np.array(self.segment(part, int(self.part_keys(keys[i:i + 1], np.zeros(1))[0]), True)[0], np.int32)
         return out
 
-    def encode(self, text: str, place: int = 0) -> np.ndarray:
-        return self.encode_all([text], [place])[0]
+    def encode(self, text: str, doc=0) -> np.ndarray:
+        return self.encode_all([text], [doc])[0]
 
     def decode(self, ids) -> str:
         table = self.bytes
@@ -285,24 +362,17 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-def _encoder(held, dropout, seed, streams):
+def _encoder(held, dropout, seed):
     """One encoder per Python worker, kept beside the broadcast pieces."""
-    key = ("encoder", dropout, seed, streams)
+    key = ("encoder", dropout, seed)
     if key not in held.value:
-        held.value[key] = Encoder(held.value, dropout, seed, streams)
+        held.value[key] = Encoder(held.value, dropout, seed)
     return held.value[key]
 
 
-def _place(doc):
-    return xxhash.xxh64_intdigest(f"{doc}".encode(), 11) & 1023
-
-
-def _each(coder, texts, places):
-    for i in range(0, len(texts), AT_ONCE):
-        part = texts[i:i + AT_ONCE]
-        coded = iter(coder.encode_all([x for x in part if x is not None], [p for x, p in zip(part, places[i:]) if x is not None]))
-        for x in part:
-            yield None if x is None else next(coded)
+def _each(coder, texts, docs):
+    coded = iter(coder.encode_all([x for x in texts if x is not None], [d for x, d in zip(texts, docs) if x is not None]))
+    return [None if x is None else next(coded) for x in texts]
 
 
 def _encode(held, at, id_at, want, *how):
@@ -313,11 +383,11 @@ def _encode(held, at, id_at, want, *how):
             for k in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(k, AT_ONCE)
                 texts = b.column(at).to_pylist()
-                coded = list(_each(coder, texts, [_place(doc) for doc in b.column(id_at).to_pylist()]))
+                coded = _each(coder, texts, b.column(id_at).to_pylist())
                 made = {
                     "ids": lambda: pa.array(coded, pa.list_(pa.int32())),
                     "size": lambda: pa.array([None if x is None else len(x) for x in coded], pa.int64()),
-                    "sha": lambda: pa.array([None if x is None else hashlib.sha256(x.tobytes()).hexdigest() for x in coded], pa.string()),
+                    "sha": lambda: pa.array([None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in coded], pa.string()),
                     "same": lambda: pa.array([None if x is None else coder.decode(x.tolist()) == t for x, t in zip(coded, texts)], pa.bool_())}
                 yield pa.RecordBatch.from_arrays([*b.columns, *[made[w]() for w in want]], names=[*b.schema.names, *[f"__{w}" for w in want]])
     return run
@@ -326,24 +396,24 @@ def _encode(held, at, id_at, want, *how):
 KINDS = {"ids": T.ArrayType(T.IntegerType()), "size": T.LongType(), "sha": T.StringType(), "same": T.BooleanType()}
 
 
-def _coded(docs, path, dropout, seed, streams, text_col, id_col, want):
+def _coded(docs, path, dropout, seed, text_col, id_col, want):
     ship(__name__)
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load(path))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{w}", KINDS[w]) for w in want]])
-    return docs.mapInArrow(_encode(held, docs.columns.index(text_col), docs.columns.index(id_col), want, dropout, seed, streams), schema)
+    return docs.mapInArrow(_encode(held, docs.columns.index(text_col), docs.columns.index(id_col), want, dropout, seed), schema)
 
 
-def encode(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42, streams: int = 4,
+def encode(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42,
            text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """`docs` with ids, the piece ids of the whole text, and lossless: whether they decode to it."""
-    out = _coded(docs, path, dropout, seed, streams, text_col, id_col, ("ids", "same"))
+    out = _coded(docs, path, dropout, seed, text_col, id_col, ("ids", "same"))
     return out.withColumns({"ids": F.col("__ids"), "lossless": F.col("__same")}).drop("__ids", "__same")
 
 
-def encode_report(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42, streams: int = 4) -> DataFrame:
+def encode_report(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 42) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and lossless (they decode to the text)."""
-    out = _coded(docs.select("doc_id", "text"), path, dropout, seed, streams, "text", "doc_id", ("size", "sha", "same"))
+    out = _coded(docs.select("doc_id", "text"), path, dropout, seed, "text", "doc_id", ("size", "sha", "same"))
     return out.select("doc_id", F.col("__size").alias("n_pieces"), F.col("__sha").alias("ids_sha256"), F.col("__same").alias("lossless"))
 
 

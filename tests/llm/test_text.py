@@ -302,17 +302,32 @@ def test_katz_counts_every_bigram(spark, docs, corpus, monkeypatch):
                               ((*want[i, t], i) for i, t, *_ in corpus)), (numbered, hot)
 
 
+BLANK_WORD = "▁multitudes"
+
+
 def test_pieces_round_trip_and_library(docs, corpus):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [t for _, t, *_ in corpus if t is not None] + ["  a  b \n\n c ", " ", "\n", "日本語 🙂 tab\t", "x" * 300]
     model = pieces.load()
-    exact, some = pieces.Encoder(model, 0.0), pieces.Encoder(model, 0.3, 1, 4)
+    exact, some = pieces.Encoder(model, 0.0), pieces.Encoder(model, 0.3, 1)
     for i, t in enumerate(texts):
         if "▁" not in t:
             assert exact.encode(t).tolist() == sp.encode(t)
         assert some.decode(some.encode(t, i).tolist()) == t
-    parts = sorted({p for t in texts for p in some.parts(t) if 1 < len(p) <= 32 and all(some.pairs.char[ord(c)] >= 0 and some.pairs.piece_id[some.pairs.char[ord(c)]] >= 0 for c in p)})
-    assert some.segment_many([(p, 2) for p in parts]) == [some.segment(p, 2) for p in parts]
+    # each part through the plain agenda with the key of its document and number
+    for coder in (some, pieces.Encoder(model, 0.1, 7)):
+        coded = coder.encode_all(texts, list(range(len(texts))))
+        for i, t in enumerate(texts):
+            if "▁" not in t:
+                parts = coder.parts(t)
+                keys = coder.part_keys(np.full(len(parts), coder.key(i, t), np.uint64), np.arange(len(parts)))
+                assert coded[i].tolist() == [x for p, k in zip(parts, keys) for x in coder.segment(p, int(k))[0]]
+    often = some.encode(" ".join(["multitudes"] * 1000)).tolist()
+    assert some.decode(often) == " ".join(["multitudes"] * 1000)
+    draws = {tuple(some.encode("multitudes", d).tolist()) for d in range(1000)}
+    assert len(draws) > 4 and len({tuple(some.segment(BLANK_WORD, int(k))[0]) for k in some.part_keys(
+        np.full(1000, some.key(0, ""), np.uint64), np.arange(1000))}) > 4
+    assert some.encode("same text", None).tolist() == some.encode("same text", None).tolist()
     got = pieces.encode(docs).collect()
     assert all(r.lossless for r in got if r.text is not None) and any(r.ids is None for r in got)
     back = pieces.decode(pieces.encode(docs).drop("text")).collect()
