@@ -407,3 +407,52 @@ def test_pipeline(spark, tmp_path, docs, items):
         assert out.columns == at.columns, name
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert done and all(x.lossless for x in done) and all(math.isfinite(x.n_pieces) for x in done)
+
+
+def test_every_language_is_learnt(spark):
+    """300 languages, some of copies of one text only; a plain ridge over all sampled rows gives the same scores."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(300):
+        letters = [chr(0x4E00 + 20 * g + k) for k in range(20)]
+        texts = [" ".join("".join(rng.choices(letters, k=4)) for _ in range(8)) for _ in range(1 if g % 3 == 0 else 4)]
+        rows += [(f"g{g:03d}", t) for t in texts for _ in range(40 if g % 3 == 0 else 1)]
+    rows += [("once", "abc"), ("bare", "123"), ("bare", "456"), (None, "def"), ("g000", None)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    for most in (768, 100):
+        model = langid.fit(labelled, sample_per_lang=3, most_landmarks=most)
+        assert model["langs"] == [f"g{g:03d}" for g in range(300)] and len(model["bits"]) <= most
+        if most == 768:
+            got = langid.predict(labelled, model).filter("lang like 'g%' and text is not null").collect()
+            texts = {(r.lang, r.text, r.lang_pred) for r in got}
+            right = sum(a == b for a, _, b in texts) / len(texts)
+            assert right > 0.9, right
+    # the plain way: kernel features of every sampled row, the normal equations at once
+    few = spark.createDataFrame([x for x in rows if x[0] and x[1] and x[0] < "g020"], "lang string, text string").dropDuplicates()
+    few = few.unionByName(few)
+    model = langid.fit(few, ridge=1e-2)
+    marks = langid.unpacked(model["bits"])
+    table = langid.letter_table()
+
+    def features(text):
+        x = np.zeros((1, langid.WIDTH), np.uint8)
+        langid.mark_presence(text, x[0], table)
+        return langid.kernel(x.astype(np.float32), marks.T, marks.sum(1))[0].astype(float)
+
+    told = [tuple(r) for r in few.distinct().collect()]
+    told = [x for x in told if x[0] in model["langs"]]
+    k = np.stack([features(t) for _, t in told])
+    own = langid.kernel(marks, marks.T, marks.sum(1)).astype(float)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
+    phi = np.c_[k @ (vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])), np.ones(len(k))]
+    y = np.array([[1.0 if g == h else -1.0 for h in model["langs"]] for g, _ in told])
+    penalty = 1e-2 * len(k) * np.eye(phi.shape[1])
+    penalty[-1, -1] = 1e-9
+    f = phi @ np.linalg.solve(phi.T @ phi + penalty, phi.T @ y)
+    want = {t: (model["langs"][i], np.clip((s + 1) / 2, 0, 1)) for (_, t), i, s in zip(told, f.argmax(1), f.max(1))}
+    for r in langid.predict(few, model).collect():
+        if r.lang == "bare":
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        assert r.lang_pred == want[r.text][0] and abs(r.score - want[r.text][1]) < 1e-3
+    assert langid.fit(few.limit(0)) is None
