@@ -138,7 +138,8 @@ def _sample(rows: DataFrame, per_lang: int) -> DataFrame:
     counts = distinct.groupBy("lang").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= LEAST_ROWS).select("lang")
     first = (distinct.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
              .groupBy("lang").agg(F.max("h").alias("last")).join(counts, "lang"))
-    drawn = keyed.join(first, "lang").filter("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # one row per language, as has the model itself
+    drawn = keyed.join(F.broadcast(first), "lang").filter("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
     return drawn.select("lang", "h", "text").mapInArrow(_presence, "lang string, h long, bits binary")
 
 
