@@ -8,14 +8,17 @@ All words and all bigrams of the training documents are counted, whatever their
 * p(w | h) = d c(h, w) / c(h) if seen, else alpha(h) p(w); p(w) = d c(w) / N if seen, else the free mass of unseen words.
   A context that was never seen has alpha 1.
 
-Counts and deltas lie in tables hash-partitioned by n-gram. Words of at least `CLASS_SHARE` of all tokens have numbers,
-which the tasks hold, as they do bigrams of such words of at least `HOT_SHARE` (at most 1/share of each, by that
-definition); these are scored in place. Other words go by 62 bits of their hash, and bigrams with such a word by 62 bits
-of a hash of both. Each occurrence not settled in place first counts as unseen, travels as a small row to its n-gram's
-partition, and brings back by how much a seen n-gram differs from an unseen one. So no key of a large share is ever
-shuffled, and the two shares decide the route of an n-gram only, never its score.
-
-Defined results: a NULL or empty text is one end token. Documents without id are training documents. Rows alike in id and
+Words of at least `CLASS_SHARE` of all tokens, of training or other documents, have numbers, which the tasks hold, as they
+do bigrams of such words of at least `HOT_SHARE` (at most 1/share of each, by that definition); these are scored in place.
+Other words go by 62 bits of their hash. Bigrams lie in a table of buckets: with their context where that has no number,
+else with their word where that has none, else with their context, which is split over as many buckets as its share of
+the tokens asks for. So a bucket knows the counts of its unnumbered words and the sums of its unnumbered contexts; only the
+count of a word after another unnumbered context is sent on. Chunks of documents count every occurrence not settled in place
+as unseen first and ask each bucket once, in one packed row, by how much its n-grams differ from unseen ones; the answers
+return to the chunk. So no key of a large share of the training tokens is ever shuffled, Spark moves packed rows instead of one
+per n-gram, and the two shares and the bucket size decide the route of an n-gram only, never its score.
+
+Defined results: a NULL or empty text is one end token. Documents without id, or with a NULL flag, are training documents. Rows alike in id and
 text get equal scores. With no training tokens every token is unseen: base and score follow from the formulas with zero
 counts (score counts an unseen word as certain). Empty tables give empty tables; other columns are not read.
 """
@@ -33,13 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import NO_ID, doc_key, stored
+from .common import NO_ID, doc_key, partitions, stored
 
 CLASS_SHARE, HOT_SHARE, K = 1e-6, 1e-6, 5
+#: Tokens a bucket of the bigram table should hold.
+BUCKET = 2_000_000
 #: Numbers of what is not among the numbered words: other words, start (context only), end. A bigram is h << 24 | w.
 OTHER, START, END, FIRST, SHIFT = 0, 1, 2, 3, 24
-#: From here on, words and bigrams are hashes; documents' own rows have keys from OWN on, below it.
-HASHED, OWN = 1 << 62, 1 << 61
+#: From here on, words and bigrams are hashes.
+HASHED = 1 << 62
+#: Kinds of packed rows: bigrams with counts; bigrams sent to their word's bucket as well; counts of such words, sent to the
+#: bigram's bucket; occurrences in a chunk of documents; what a chunk settled in place; answers to a chunk.
+PAIRS, COPIES, COUNTS, ASKED, OWN, ANSWER = range(6)
+ROW = "bucket long, kind int, chunk long, data binary, more binary, counts array<long>"
 #: The end token among word counts; no word holds a line end.
 END_WORD = b"\n"
 COUNTED, CHUNK = 400_000, 300_000
@@ -54,17 +63,23 @@ def _texts(column: pa.Array) -> list:
 
 
 def _count_words(batches):
-    held: Counter = Counter()
+    """Counts in training documents and in all."""
+    seen, held = Counter(), Counter()
 
     def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([seen[w] for w in held], pa.int64()),
+                                            pa.array(list(held.values()), pa.int64())], names=["word", "c", "n"])
+        seen.clear()
         held.clear()
         return batch
 
     for b in batches:
-        for text in _texts(b.column(0)):
-            held.update(words_of(text))
-            held[END_WORD] += 1
+        for text, out in zip(_texts(b.column(0)), b.column(1).to_pylist()):
+            words = words_of(text)
+            words.append(END_WORD)
+            held.update(words)
+            if not out:
+                seen.update(words)
             if len(held) > COUNTED:
                 yield flush()
     yield flush()
@@ -90,20 +105,18 @@ def discounted(c, d: np.ndarray):
     return np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0) * c
 
 
-def _counts_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r.c: r.n for r in table.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-
-
 class Words:
     """The numbered words with what one token of each adds; index OTHER stands for an unseen word."""
 
     def __init__(self, rows, total: int, types: int, of_counts: dict[int, int], all_discounted: float):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        rows = sorted(rows, key=lambda r: (-r[2], r[0]))
         self.d = discounts(of_counts)
-        ends = sum(c for w, c in rows if w == END_WORD)
-        rows = [(w, c) for w, c in rows if w != END_WORD]
-        self.words = [w for w, _ in rows]
-        c = np.array([0, 0, ends, *[c for _, c in rows]], np.int64)
+        ends = [sum(r[i] for r in rows if r[0] == END_WORD) for i in (1, 2)]
+        rows = [r for r in rows if r[0] != END_WORD]
+        self.words = [r[0] for r in rows]
+        c = np.array([0, 0, ends[0], *[r[1] for r in rows]], np.int64)
+        #: Tokens that follow each numbered word in all documents, as many as there are of it.
+        self.follow = np.array([0, ends[1], 0, *[r[2] for r in rows]], np.int64)
         self.base = np.log10(c + 0.5) - math.log10(total + 0.5 * (types + 1))
         self.known = c > 0
         self.free = max(1 - all_discounted / total, 1 / (total + 1)) if total else 1.0     # mass of unseen words
@@ -160,14 +173,71 @@ def _before(w, ends):
     return h
 
 
-def _keys(h, w):
-    """h << SHIFT | w for two numbers, otherwise a hash of both."""
+def _mix(h, w):
     with np.errstate(over="ignore"):
         x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
         for step, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ x >> np.uint64(step)) * np.uint64(factor)
-    mixed = ((x ^ x >> np.uint64(31)) >> np.uint64(2)).astype(np.int64) | HASHED
-    return np.where((h < HASHED) & (w < HASHED), (h & (1 << SHIFT) - 1) << SHIFT | w, mixed)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(2)).astype(np.int64) | HASHED
+
+
+def _keys(h, w):
+    """h << SHIFT | w for two numbers, otherwise a hash of both."""
+    return np.where((h < HASHED) & (w < HASHED), (h & (1 << SHIFT) - 1) << SHIFT | w, _mix(h, w))
+
+
+def _home(x, parts):
+    """Bucket of an unnumbered word."""
+    return _mix(x, np.zeros(1, np.int64)) % parts
+
+
+def _bucket(h, w, v):
+    numbered = h < HASHED
+    spread = v["spread"][np.where(numbered, h, OTHER)]
+    both = _mix(h, _mix(np.zeros(1, np.int64), w) % spread) % v["parts"]
+    return np.where(numbered & (w < HASHED), both, _home(np.where(numbered, w, h), v["parts"]))
+
+
+def pack(*columns) -> bytes:
+    """Columns of 8-byte numbers of one length, the first by differences, byte by byte, compressed."""
+    n, out = len(columns[0]), []
+    for i, x in enumerate(columns):
+        x = np.ascontiguousarray(x).view(np.int64)
+        out.append((np.diff(x, prepend=np.int64(0)) if i == 0 else x).view(np.uint8).reshape(n, 8).T.tobytes())
+    return n.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(b"".join(out), asbytes=True)
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return [np.zeros(0, np.int64)] * columns
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 8 * n * columns, asbytes=True), np.uint8).reshape(columns, 8, n)
+    out = [np.ascontiguousarray(x.T).view(np.int64).reshape(n) for x in raw]
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _all(rows, columns):
+    """The columns of several packed rows, one after the other, and their lengths."""
+    parts = [unpack(x, columns) for x in rows]
+    if not parts:
+        return [np.zeros(0, np.int64)] * columns, np.zeros(0, np.int64)
+    return [np.concatenate(x) for x in zip(*parts)], np.array([len(x[0]) for x in parts])
+
+
+def _rows(rows):
+    """Rows (bucket, kind, chunk, data, more, counts) as a batch."""
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    cols = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "kind", "chunk", "data", "more", "counts"])
+
+
+def _split(kind, chunk, bucket, *columns):
+    """One packed row per bucket, sorted by the first two columns."""
+    order = np.lexsort((columns[1], columns[0], bucket))
+    bucket, columns = bucket[order], [x[order] for x in columns]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+    return [(int(bucket[a]), kind, chunk, pack(*[x[a:b] for x in columns]), None, None) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _count_bigrams(held):
@@ -176,141 +246,225 @@ def _count_bigrams(held):
         for _, _, w, ends in _chunks(batches, v["number"], 0):
             h = _before(w, ends)
             _, at, n = np.unique(_keys(h, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], w[at], n)], names=["h", "w", "n"])
+            h, w = h[at], w[at]
+            far = (h >= HASHED) & (w >= HASHED)
+            yield _rows(_split(PAIRS, 0, _bucket(h, w, v), h, w, n)
+                        + _split(COPIES, 0, _home(w[far], v["parts"]), h[far], w[far], n[far]))
     return run
 
 
-def _shares(held):
-    """p(w) beside each bigram of a numbered word."""
-    def run(batches):
-        p = held.value["p"]
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[b.column(1).to_numpy()])], names=["h", "w", "c", "p"])
+def _summed(h, w, n):
+    """Bigrams, each once."""
+    if not len(h):
+        return h, w, n
+    k = _keys(h, w)
+    order = np.argsort(k)
+    first = np.flatnonzero(np.r_[True, np.diff(k[order]) != 0])
+    return h[order[first]], w[order[first]], np.add.reduceat(n[order], first)
+
+
+def _by_kind(table, kind, column="data"):
+    at = np.flatnonzero(table.column("kind").to_numpy() == kind)
+    return table.column(column).take(pa.array(at)).to_pylist()
+
+
+def _merge(parts):
+    """A bucket's bigrams and the counts of its unnumbered words, and those counts for the other buckets that need them."""
+    def run(table):
+        bucket = table.column("bucket")[0].as_py()
+        h, w, c = _summed(*_all(_by_kind(table, PAIRS), 3)[0])
+        fh, fw, fc = _summed(*_all(_by_kind(table, COPIES), 3)[0])
+        own = (h < HASHED) & (w >= HASHED)
+        words, at = np.unique(np.concatenate([w[own], fw]), return_inverse=True)
+        cw = np.bincount(at, np.concatenate([c[own], fc]), len(words)).astype(np.int64)
+        order = np.lexsort((w, h))
+        out = [(bucket, PAIRS, 0, pack(h[order], w[order], c[order]), pack(words, cw), np.bincount(np.minimum(c, K + 2), minlength=K + 3).tolist())]
+        out += _split(COUNTS, 0, _home(fh, parts), fh, fw, cw[np.searchsorted(words, fw)])
+        return pa.Table.from_batches([_rows(out)])
     return run
 
 
-def _deltas(d2, held=None):
-    """By how much log10 p(w | h) of a seen bigram differs from that of an unseen one, from h, w, c, p and the sums of
-    the context: of numbered contexts as held, of others in columns."""
+def _found(sorted_keys, keys):
+    """Where each key stands, and whether it does."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _sums(at, n, *columns):
+    """Sums of the columns by number, as doubles also where there is nothing to sum."""
+    return [np.bincount(at, x, n).astype(float) for x in columns]
+
+
+def _context_sums(held):
+    """A bucket's share of the sums of numbered contexts."""
     def run(batches):
+        v = held.value
         for b in batches:
-            h, w, c, p = (b.column(i).to_numpy() for i in range(4))
-            if held is None:
-                n = b.column(4).to_numpy()
-                _, scale, log_alpha = weights(n, b.column(5).to_numpy(), b.column(6).to_numpy())
-            else:
-                n, scale, log_alpha = (held.value[x][h] for x in ("n", "scale", "log_alpha"))
-            delta = np.log10(scale * discounted(c, d2) / n) - log_alpha - np.log10(p)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, w)), b.column(2), pa.array(delta)], names=["k", "c", "delta"])
+            for data, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (h, w, c), (words, cw) = unpack(data, 3), unpack(more, 2)
+                h, w, c = (x[h < HASHED] for x in (h, w, c))
+                p = v["p"][np.where(w < HASHED, w, OTHER)]
+                rare = w >= HASHED
+                p[rare] = v["share"] * discounted(cw[np.searchsorted(words, w[rare])], v["d1"])
+                ids, at = np.unique(h, return_inverse=True)
+                sums = _sums(at, len(ids), c, discounted(c, v["d2"]), p)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *sums)], names=["h", "n", "kept", "mass"])
     return run
 
 
-def _ids(batches):
-    for b in batches:
-        ids = np.array([_word_id(x) for x in b.column(0).to_pylist()], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(1)], names=["w", "cw"])
-
-
-def _word_deltas(d, log_step):
-    """What a word without a number adds as a word and as a context, less what an unseen one adds; keys are negative."""
+def _hot(least):
     def run(batches):
         for b in batches:
-            k, c, n, kept, mass = (b.column(i).to_numpy() for i in range(5))
-            score = np.log10(discounted(c, d)) + log_step + weights(n, kept, mass)[2]
-            yield pa.RecordBatch.from_arrays([pa.array(-k), pa.array(score), pa.array(np.log10(c + 0.5) - math.log10(0.5))],
-                                             names=["k", "score", "base"])
+            for data in b.column(0).to_pylist():
+                h, w, c = unpack(data, 3)
+                hot = (h < HASHED) & (w < HASHED) & (c >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (h, w, c)], names=["h", "w", "c"])
     return run
 
 
-SCORED = "d long, t long, k long, n double, sums array<double>"
+def _delta(v, h, w, c):
+    """By how much log10 p(w | h) of a seen bigram of numbered words differs from that of an unseen one."""
+    return np.log10(v["scale"][h] * discounted(c, v["d2"]) / v["n"][h]) - v["log_alpha"][h] - np.log10(v["p"][w])
 
 
-def _score(held):
-    """One row per document with the sums of everything settled in place (known, base, score), and one without sums per
-    other n-gram it holds (with its count)."""
+def _ask(held):
+    """Per chunk of documents what is settled in place, and the other occurrences, packed by bucket."""
     def run(batches):
         v = _ready(held)
-        for rows, numbers, ids, ends in _chunks(batches, v["number"], 2):
+        for rows, numbers, ids, ends in _chunks(batches, v["number"], 3):
             starts = np.r_[0, ends[:-1] + 1]
             h = _before(ids, ends)
-            key = _keys(h, ids)
-            held_h = np.where(h < HASHED, h, OTHER)
+            numbered_h, numbered_w = h < HASHED, ids < HASHED
+            held_h = np.where(numbered_h, h, OTHER)
             score = v["log_p"][numbers] + v["log_alpha"][held_h]
-            at = np.minimum(np.searchsorted(v["hot"], key), len(v["hot"]) - 1)
-            hot = v["hot"][at] == key
+            at, hot = _found(v["hot"], np.where(numbered_h & numbered_w, _keys(h, ids), 0))
             score[hot] += v["hot_delta"][at[hot]]
-            sums = np.stack([np.add.reduceat(x, starts) for x in (v["known"][numbers].astype(float), v["base"][numbers], score)], 1)
+            sums = [np.add.reduceat(x, starts) for x in (v["known"][numbers].astype(float), v["base"][numbers], score)]
+            keys = [np.array(x, np.int64) for x in zip(*[(d, t, bool(out)) for d, t, out in rows])]
+            chunk = xxhash.xxh3_64_intdigest(b"".join(x.tobytes() for x in keys)) - (1 << 63)
             doc = np.repeat(np.arange(len(rows)), ends - starts + 1)
-            away = np.flatnonzero(~hot & ((h >= HASHED) | (v["n"][held_h] > 0)))
-            rare = np.flatnonzero(ids >= HASHED)
-            k, of = np.concatenate([key[away], -ids[rare]]), np.concatenate([doc[away], doc[rare]])
-            # sorted by document and key, so that repeats within a document fold
-            order = np.lexsort((k, of))
-            k, of = k[order], of[order]
-            fresh = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (of[1:] != of[:-1])]) if len(k) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[fresh, len(k)]).astype(float)
-            d, t = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            of = of[fresh]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (d[of], t[of], k[fresh], n)], pa.nulls(len(fresh), pa.list_(pa.float64()))],
-                                             names=["d", "t", "k", "n", "sums"])
-            # a document's own row goes to some partition; its key is beyond those of numbered bigrams
-            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (d, t, (t & (1 << 60) - 1) | OWN, (ends - starts + 1).astype(float))],
-                                              pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["d", "t", "k", "n", "sums"])
+            away = np.flatnonzero(~hot & (~numbered_h | ~numbered_w | (v["n"][held_h] > 0)))
+            # the word of a bigram without any number is asked about on its own, behind no context
+            far = np.flatnonzero(~numbered_h & ~numbered_w)
+            none = np.full(len(far), OTHER, np.int64)
+            yield _rows([(chunk % v["parts"], OWN, chunk, pack(*keys, ends - starts + 1, *sums), None, None)]
+                        + _split(ASKED, chunk, _bucket(h[away], ids[away], v), h[away], ids[away], doc[away])
+                        + _split(ASKED, chunk, _home(ids[far], v["parts"]), none, ids[far], doc[far]))
+    return run
+
+
+def _answer(held):
+    """What a bucket's n-grams add to the sums of the documents that ask."""
+    def run(table):
+        v = held.value
+        out = [(0, OWN, chunk, data, None, None) for chunk, data in zip(_by_kind(table, OWN, "chunk"), _by_kind(table, OWN))]
+        chunks = _by_kind(table, ASKED, "chunk")
+        if chunks:
+            (qh, qw, doc), lengths = _all(_by_kind(table, ASKED), 3)
+            (h, w, c), _ = _all(_by_kind(table, PAIRS), 3)
+            (words, cw), _ = _all(_by_kind(table, PAIRS, "more"), 2)
+            k = _keys(h, w)
+            order = np.argsort(k)
+            k, h, w, c = k[order], h[order], w[order], c[order]
+            count = np.zeros(len(w), np.int64)                         # of unnumbered words
+            own = (h < HASHED) & (w >= HASHED)
+            count[own] = cw[np.searchsorted(words, w[own])]
+            (fh, fw, fc), _ = _all(_by_kind(table, COUNTS), 3)
+            at, there = _found(k, _keys(fh, fw))
+            count[at[there]] = fc[there]
+            p = v["p"][np.where(w < HASHED, w, OTHER)]
+            p[w >= HASHED] = v["share"] * discounted(count[w >= HASHED], v["d1"])
+            held_h = np.where(h < HASHED, h, OTHER)
+            n, scale, log_alpha = (v[x][held_h] for x in ("n", "scale", "log_alpha"))
+            far = np.flatnonzero(h >= HASHED)
+            contexts, at = np.unique(h[far], return_inverse=True)
+            sums = _sums(at, len(contexts), c[far], discounted(c[far], v["d2"]), p[far])
+            _, far_scale, far_alpha = weights(*sums)
+            n[far], scale[far], log_alpha[far] = sums[0][at], far_scale[at], far_alpha[at]
+            delta = np.log10(scale * discounted(c, v["d2"]) / n) - log_alpha - np.log10(p)
+
+            score, base, known = np.zeros(len(qh)), np.zeros(len(qh)), np.zeros(len(qh), np.int64)
+            at, there = _found(k, _keys(qh, qw))
+            there &= qh != OTHER
+            score[there] += delta[at[there]]
+            at, there = _found(contexts, qh)
+            score[there] += far_alpha[at[there]]
+            at, there = _found(words, qw)
+            there &= qh < HASHED
+            seen = cw[at[there]]
+            score[there] += np.log10(v["share"] * discounted(seen, v["d1"])) - v["log_p"][OTHER]
+            base[there], known[there] = np.log10(seen + 0.5) - math.log10(0.5), 1
+            # one answer per document that asked
+            of = np.repeat(np.arange(len(chunks)), lengths) << 40 | doc
+            docs, at = np.unique(of, return_inverse=True)
+            sums = _sums(at, len(docs), known, base, score)
+            cuts = np.searchsorted(docs, np.arange(len(chunks) + 1) << 40)
+            out += [(0, ANSWER, chunk, pack((docs[a:b] & (1 << 40) - 1), *[x[a:b] for x in sums]), None, None)
+                    for chunk, a, b in zip(chunks, cuts[:-1], cuts[1:])]
+        return pa.Table.from_batches([_rows(out)])
     return run
 
 
-def _discounted(c: str, d: np.ndarray):
-    """`discounted` as a column."""
-    return F.col(c) * F.when(F.col(c) < len(d), F.element_at(F.array(*map(F.lit, d.tolist())), F.col(c).cast("int") + 1)).otherwise(1.0)
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def train(docs: DataFrame) -> tuple[dict, DataFrame]:
-    """From the texts of `docs`: what tasks hold (numbered words, hot bigrams, weights of contexts) and the table of
-    all other n-grams (k, score, base: differences from an unseen n-gram; base is NULL for bigrams)."""
+def _add_up(table):
+    """The documents of a chunk. Chunks of the same documents share their answers evenly."""
+    own = _by_kind(table, OWN)
+    d, _, out, tokens, *sums = unpack(own[0], 7)
+    sums = [x.view(np.float64).copy() for x in sums]
+    (doc, *more), _ = _all(_by_kind(table, ANSWER), 4)
+    for x, y in zip(sums, more):
+        x += _sums(doc, len(d), y.view(np.float64))[0] / len(own)
+    n = len(own)
+    ids = pa.array(np.tile(d, n), mask=np.tile(d == NO_ID, n))
+    cols = [np.tile(x, n) for x in (out != 0, tokens, np.rint(sums[0]).astype(np.int64), sums[1], sums[2])]
+    return pa.Table.from_arrays([ids, *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _grouped(df: DataFrame, key: str, parts: int):
+    """Groups spread over a fixed number of tasks: packed rows are too small for sizes in bytes to tell the work."""
+    return df.repartition(parts, key).groupBy(key)
+
+
+def train(docs: DataFrame, held_out: str = "held_out") -> tuple[dict, DataFrame]:
+    """From the texts of `docs` that are not held out: what tasks hold (numbered words, hot bigrams, weights of numbered
+    contexts) and the table of bigrams with counts, by bucket."""
     ship(__name__)
     spark = docs.sparkSession
-    texts = docs.select(F.col("text"))
-    table = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    s = table.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("c") > K, F.col("c"))).alias("much")).first()
-    total, of_counts = s.n or 0, _counts_of_counts(table)
+    out = F.coalesce(F.col(held_out), F.lit(False))
+    table = stored(docs.select("text", out.alias("out")).mapInArrow(_count_words, "word binary, c long, n long")
+                   .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
+    s = table.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v"),
+                  F.sum(F.when(F.col("c") > K, F.col("c"))).alias("much")).first()
+    total, tokens = s.c or 0, s.n or 0
+    of_counts = {r.c: r.k for r in table.filter(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count("*").alias("k")).collect()}
     d1 = discounts(of_counts)
     kept = (s.much or 0) + sum(d1[c] * c * n for c, n in of_counts.items() if c <= K)
-    numbered = (F.col("c") >= CLASS_SHARE * total) | (F.col("word") == END_WORD)
-    words = Words([(bytes(r.word), r.c) for r in table.filter(numbered).collect()], total, s.v, of_counts, kept)
-    v = {"words": words.words, "p": words.p}
-    held = spark.sparkContext.broadcast(v)
-    pairs = stored(texts.mapInArrow(_count_bigrams(held), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c")), "bigrams")
-    d2 = discounts(_counts_of_counts(pairs))
-    rare = table.filter(~numbered).select("word", "c").mapInArrow(_ids, "w long, cw long")
-    # bigrams of words without a number meet the word's count by a join; no key of it has a large share
-    far = stored(pairs.filter(F.col("w") >= HASHED).join(rare, "w").withColumn("p", words.share * _discounted("cw", d1))
-                 .select("h", "w", "c", "p"), "rare-bigrams")
-    both = pairs.filter(F.col("w") < HASHED).mapInArrow(_shares(held), "h long, w long, c long, p double").unionByName(far)
-    contexts = stored(both.groupBy("h").agg(F.sum("c").cast("double").alias("n"), F.sum(_discounted("c", d2)).alias("kept"),
-                                            F.sum("p").alias("mass")), "contexts")
-    m = FIRST + len(words.words)
-    n, kept2, mass = np.zeros(m), np.zeros(m), np.zeros(m)
-    for r in contexts.filter(F.col("h") < HASHED).collect():                                # one row per numbered word
-        n[r.h], kept2[r.h], mass[r.h] = r.n, r.kept, r.mass
-    _, scale, log_alpha = weights(n, kept2, mass)
-    v = {"words": words.words, "n": n, "scale": scale, "log_alpha": log_alpha}
-    held = spark.sparkContext.broadcast(v)
-    out = "k long, c long, delta double"
-    near = both.filter(F.col("h") < HASHED).mapInArrow(_deltas(d2, held), out)
-    others = contexts.filter(F.col("h") >= HASHED)
-    away = both.filter(F.col("h") >= HASHED).join(others, "h").select("h", "w", "c", "p", "n", "kept", "mass").mapInArrow(_deltas(d2), out)
-    is_hot = (F.col("c") >= HOT_SHARE * total) & (F.col("k") < HASHED)
-    # hot bigrams are found by their count before anything is computed for them
-    few = pairs.filter((F.col("c") >= HOT_SHARE * total) & (F.col("h") < HASHED) & (F.col("w") < HASHED))
-    hot_rows = few.mapInArrow(_shares(spark.sparkContext.broadcast({"p": words.p})), "h long, w long, c long, p double").mapInArrow(_deltas(d2, held), out)
-    hot = sorted((r.k, r.delta) for r in hot_rows.collect())
-    v |= {"log_p": words.log_p, "known": words.known, "base": words.base,
-          "hot": np.array([k for k, _ in hot] or [-1], np.int64), "hot_delta": np.array([x for _, x in hot] or [0.0])}
-    step = math.log10(words.share) - math.log10(words.free) if total else 0.0
-    word_rows = (rare.join(others.withColumnRenamed("h", "w"), "w").select("w", "cw", "n", "kept", "mass")
-                 .mapInArrow(_word_deltas(d1, step), "k long, score double, base double"))
-    model = near.filter(~is_hot).unionByName(away).select("k", F.col("delta").alias("score"), F.lit(None).cast("double").alias("base"))
-    return {**v, "total": total}, model.unionByName(word_rows)
+    numbered = (F.col("n") >= CLASS_SHARE * tokens) | (F.col("word") == END_WORD)
+    words = Words([(bytes(r.word), r.c, r.n) for r in table.filter(numbered).collect()], total, s.v, of_counts, kept)
+    parts = max(partitions(spark), -(-tokens // BUCKET))
+    spread = 1 + words.follow * 4 * parts // max(tokens, 1)
+    held = spark.sparkContext.broadcast({"words": words.words, "spread": spread, "parts": parts})
+    found = docs.filter(~out).select("text").mapInArrow(_count_bigrams(held), ROW)
+    pairs = stored(_grouped(found, "bucket", parts).applyInArrow(_merge(parts), ROW), "bigrams")
+    of_pairs = {r.pos: r.k for r in pairs.select(F.posexplode("counts").alias("pos", "k")).groupBy("pos").agg(F.sum("k").alias("k")).collect()}
+    d2 = discounts(of_pairs)
+    v = {"words": words.words, "spread": spread, "parts": parts, "p": words.p, "share": words.share, "d1": d1, "d2": d2}
+    own = pairs.filter(F.col("kind") == PAIRS)
+    sums = (own.select("data", "more").mapInArrow(_context_sums(spark.sparkContext.broadcast(v)), "h long, n double, kept double, mass double")
+            .groupBy("h").agg(*[F.sum(x).alias(x) for x in ("n", "kept", "mass")]).toArrow())      # one row per numbered word
+    of_context = np.zeros((3, FIRST + len(words.words)))
+    of_context[:, sums.column("h").to_numpy()] = [sums.column(x).to_numpy() for x in ("n", "kept", "mass")]
+    _, scale, log_alpha = weights(*of_context)
+    v |= {"n": of_context[0], "scale": scale, "log_alpha": log_alpha, "log_p": words.log_p, "known": words.known, "base": words.base}
+    hot = own.select("data").mapInArrow(_hot(HOT_SHARE * total), "h long, w long, c long").toArrow()
+    h, w, c = (hot.column(i).to_numpy() for i in range(3))
+    k = _keys(h, w)
+    order = np.argsort(k)
+    return {**v, "hot": k[order], "hot_delta": _delta(v, h, w, c)[order], "total": total}, pairs
 
 
 def weights(n: np.ndarray, kept: np.ndarray, mass: np.ndarray):
@@ -328,25 +482,14 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; the model learns from
     those not held out."""
     ship(__name__)
-    spark = docs.sparkSession
-    v, model = train(docs.filter(~F.col(held_out)))
-    held = spark.sparkContext.broadcast(v)
+    v, pairs = train(docs, held_out)
+    held = docs.sparkSession.sparkContext.broadcast(v)
     d, t = doc_key()
-    rows = docs.select(d.alias("d"), t.alias("t"), F.col("text")).mapInArrow(_score(held), SCORED)
-    found = rows.join(model.select("k", F.col("score").alias("more"), F.col("base").alias("more_base")).hint("shuffle_hash"), "k", "left")
-    own, n = F.col("sums").isNotNull(), F.col("n")
-    of = lambda i, c: F.sum(F.when(own, F.col("sums")[i]).otherwise(F.coalesce(c, F.lit(0.0))))
-    sums = found.groupBy("d", "t").agg(
-        F.sum(F.when(own, 1)).alias("copies"), F.sum(F.when(own, n).otherwise(0)).alias("tokens"),
-        of(0, F.when(F.col("more_base").isNotNull(), n)).alias("known"), of(1, n * F.col("more_base")).alias("base"),
-        of(2, n * F.col("more")).alias("score"))
-    one = F.col("copies")
-    whole = lambda c: F.round(F.col(c) / one).cast("long")
-    doc_id = F.nullif(F.col("d"), F.lit(NO_ID))
-    return sums.select(
-        doc_id.alias("doc_id"), held_out_of(doc_id).alias("held_out"), whole("tokens").alias("n_tokens"), whole("known").alias("n_known"),
-        F.lit(v["total"]).cast("long").alias("train_tokens"), (F.col("base") / one).alias("base_score"), (F.col("score") / one).alias("score"),
-        F.explode(F.array_repeat(F.lit(1), one.cast("int"))).alias("__copy")).drop("__copy")
+    out = F.coalesce(F.col(held_out), F.lit(False))
+    asked = docs.select(d.alias("d"), t.alias("t"), out.alias("out"), F.col("text")).mapInArrow(_ask(held), ROW)
+    answers = _grouped(pairs.select(asked.columns).unionByName(asked), "bucket", v["parts"]).applyInArrow(_answer(held), ROW)
+    rows = _grouped(answers, "chunk", v["parts"]).applyInArrow(_add_up, SCORED)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v["total"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_of(doc_id, folds: int = 5, held: int = 1):
