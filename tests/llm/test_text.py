@@ -302,6 +302,35 @@ def test_katz_counts_every_bigram(spark, docs, corpus, monkeypatch):
                               ((*want[i, t], i) for i, t, *_ in corpus)), (numbered, hot)
 
 
+def test_katz_in_small_chunks_and_buckets(spark, corpus, monkeypatch):
+    """Packed rows come back whole; chunks alike share their answers; words that only held-out documents hold, however often,
+    rows alike and missing flags change nothing."""
+    r = np.random.default_rng(3)
+    cols = [np.sort(r.integers(-(1 << 62), 1 << 62, 999)), r.integers(0, 9, 999), r.normal(size=999)]
+    back = katz.unpack(katz.pack(*cols), 3)
+    assert (back[0] == cols[0]).all() and (back[1] == cols[1]).all() and (back[2].view(np.float64) == cols[2]).all()
+    assert [len(x) for x in katz.unpack(katz.pack(*[np.zeros(0, np.int64)] * 2), 2)] == [0, 0]
+
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, t) for i, t, *_ in corpus] + [(i, "nowhere else " * 50 + words(20, i, 900)) for i in held] + [(5, corpus[-3][1])] * 3 + [(6, "")] * 3
+    want = _plain_katz(rows)
+    flag = F.when(F.col("doc_id").isNotNull(), katz.held_out_of(F.col("doc_id")))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", flag).withColumn("bucket", F.lit("x"))
+    for chunk, bucket in ((1, 50), (200, 7), (300_000, 2_000_000)):
+        monkeypatch.setattr(katz, "CHUNK", chunk)
+        monkeypatch.setattr(katz, "BUCKET", bucket)
+        monkeypatch.setattr(katz, "CLASS_SHARE", 1e-2)
+        monkeypatch.setattr(katz, "HOT_SHARE", 0.05)
+        got = katz.score(d).collect()
+        assert len(got) == len(rows)
+        by_id = {}
+        for i, t in rows:
+            by_id.setdefault(i, []).append(want[i, t])
+        for i in by_id:
+            mine = sorted((x.n_tokens, x.n_known, x.base_score, x.score) for x in got if x.doc_id == i)
+            assert np.allclose(mine, sorted(by_id[i]), rtol=0, atol=1e-7), (chunk, i)
+
+
 BLANK_WORD = "▁multitudes"
 
 
