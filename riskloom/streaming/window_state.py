@@ -4,7 +4,12 @@ The state of a key is its rows of the longest window and some slack, and totals
 rows strictly before its moment, whatever order they arrived in: counts and sums are differences of running totals at the
 two ends of each window, distinct counterparts the stretches of rows at most a window apart that are open at the moment.
 So rows of equal moments never see each other, also across micro-batches, and a row that is late by no more than the slack is
-answered exactly. Rows leave the state with the key's next row or, where none comes, by an event-time timer.
+answered exactly.
+
+Keys are dealt to slots by hash, and slots to buckets. A bucket is one group of the stream, a slot one entry of its state, and
+all keys of a slot are answered at once: the calls to the state store go with the slots a batch touches, not with its keys.
+Rows leave the state with the next row of their slot or, where none comes, by an event-time timer of the bucket, which looks
+through it once in a window and slack.
 
 The watermark trails the newest event by the slack. Rows later than that are not answered here: the state that they
 would need is gone; they go through the batch plan."""
@@ -12,11 +17,11 @@ would need is gone; they go through the batch plan."""
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +33,9 @@ ship(__name__)
 
 #: Amounts are kept as whole millionths, so that a sum loses nothing when a row leaves it.
 GRID = 1_000_000
+BUCKETS, SLOTS = 128, 16
+#: Stands for no moment.
+NEVER = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -56,82 +64,137 @@ PAIR = Side(("payer_vpa", "payee_vpa"), "device_id", {}, {}, {}, "pair")
 DEVICE = Side(("device_id",), "payer_vpa", {"device_n_1h": HOUR}, {}, {"device_payers_30d": MONTH}, "device")
 
 
-def stretches(us: np.ndarray, other: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """When a counterpart starts and stops to count, each sorted: it counts at t if started before t and not stopped
-    before t. `us` is sorted."""
-    by = np.lexsort((us, other))
-    t, o = us[by], other[by]
-    apart = (o[1:] != o[:-1]) | (t[1:] - t[:-1] > window)
-    return np.sort(t[np.r_[True, apart]]), np.sort(t[np.r_[apart, True]] + window)
+class Moments:
+    """Moments of many keys: how many lie before a moment of a key, those of all smaller keys included."""
+
+    def __init__(self, key: np.ndarray, us: np.ndarray):
+        self.known = np.unique(us)
+        self.at = np.sort(key * (len(self.known) + 1) + np.searchsorted(self.known, us))
+
+    def before(self, key: np.ndarray, us: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, key * (len(self.known) + 1) + np.searchsorted(self.known, us, "left"), "left")
+
 
+def stretches(key: np.ndarray, us: np.ndarray, other: np.ndarray, window: int) -> tuple[Moments, Moments]:
+    """When a key's counterpart starts and stops to count: it counts at t if started before t and not stopped before t."""
+    by = np.lexsort((us, other, key))
+    k, t, o = key[by], us[by], other[by]
+    apart = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (t[1:] - t[:-1] > window)
+    first, last = np.r_[True, apart], np.r_[apart, True]
+    return Moments(k[first], t[first]), Moments(k[last], t[last] + window)
 
-def answers(side: Side, us: np.ndarray, micros: list[int], other: np.ndarray, at: np.ndarray) -> dict[str, list]:
-    """Windowed reads at the moments `at`, from rows sorted by `us`."""
-    before = np.searchsorted(us, at, "left")
-    out = {name: before - np.searchsorted(us, at - w, "left") for name, w in side.counts.items()}
-    running = [0, *accumulate(micros)]
-    for name, w in side.sums.items():
-        low = np.searchsorted(us, at - w, "left")
-        out[name] = [(running[j] - running[i]) / GRID for i, j in zip(low.tolist(), before.tolist())]
+
+def answers(side: Side, key: np.ndarray, us: np.ndarray, micros: np.ndarray, other: np.ndarray, asks: np.ndarray,
+            at: np.ndarray) -> dict[str, list]:
+    """Windowed reads of the keys `asks` at the moments `at`, from rows sorted by (key, us)."""
+    held = Moments(key, us)
+    before = held.before(asks, at)
+    out = {name: before - held.before(asks, at - w) for name, w in side.counts.items()}
+    if side.sums:
+        # whole numbers of any size where 64 bits might not do
+        large = len(micros) * int(np.abs(micros).max(initial=0)) >= 1 << 62
+        running = np.concatenate([[0], np.cumsum(micros.astype(object) if large else micros)])
+        for name, w in side.sums.items():
+            out[name] = [x / GRID for x in (running[before] - running[held.before(asks, at - w)]).tolist()]
     for name, w in side.distinct.items():
-        starts, stops = stretches(us, other, w)
-        out[name] = np.searchsorted(starts, at, "left") - np.searchsorted(stops, at, "left")
+        starts, stops = stretches(key, us, other, w)
+        first = lambda m: np.searchsorted(m.at, asks * (len(m.known) + 1), "left")
+        out[name] = (starts.before(asks, at) - first(starts)) - (stops.before(asks, at) - first(stops))
     return out
 
 
+def packed(columns: dict) -> bytes:
+    """Columns as the bytes of an Arrow stream."""
+    rows = pa.record_batch(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(found: tuple | None, columns: dict) -> list:
+    """The columns of `packed`; empty ones of the given types where nothing is stored."""
+    if found is None:
+        return [pa.array([], kind) for kind in columns.values()]
+    rows = pa.ipc.open_stream(bytes(found[0])).read_next_batch()
+    return [rows.column(c) for c in columns]
+
+
+_TOTALS = {"key": pa.string(), "n": pa.int64(), "last_us": pa.int64(), "gone_last_us": pa.int64()}
+_RECENT = {"key": pa.int64(), "us": pa.int64(), "micros": pa.int64(), "other": pa.string()}
+
+
 class WindowHistory(StatefulProcessor):
     def __init__(self, side: Side, slack: int):
         self.side, self.slack = side, slack
+        self.reach = side.horizon + slack
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "us long, micros long, other string")
-        self.totals = handle.getValueState("totals", "n long, last_us long, gone_last_us long")
+        # per slot: totals of its keys, and their rows with the key's place among the totals
+        self.totals = handle.getMapState("totals", "slot int", "packed binary")
+        self.recent = handle.getMapState("recent", "slot int", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["slot", "us", "txn_id"])
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer((int(batch["us"].max()) + self.reach) // 1000 + 1)
+        yield pd.concat([self._slot(int(slot), part) for slot, part in batch.groupby("slot", sort=False)])
+
+    def _load(self, slot: int) -> tuple[list, ...]:
+        keys, *totals = unpacked(self.totals.getValue((slot,)), _TOTALS)
+        *rows, other = unpacked(self.recent.getValue((slot,)), _RECENT)
+        return (keys.to_pylist(), *[x.to_numpy(zero_copy_only=False) for x in (*totals, *rows)], other.to_pylist())
+
+    def _slot(self, slot: int, batch: pd.DataFrame) -> pd.DataFrame:
         side = self.side
-        batch = pd.concat(list(rows)).sort_values(["us", "txn_id"])
-        n, last, gone = self.totals.get() if self.totals.exists() else (0, None, None)
-        held = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        micros = (batch["amount"] * GRID).round().astype("int64")
-        held += list(zip(batch["us"].tolist(), micros.tolist(), batch["other"].tolist()))
-        held.sort(key=lambda r: r[0])
-        us = np.array([r[0] for r in held], np.int64)
-        _, other = np.unique([r[2] or "" for r in held], return_inverse=True)
+        keys, n, last, gone, key, us, micros, other = self._load(slot)
         at = batch["us"].to_numpy(np.int64)
-        found = answers(side, us, [r[1] for r in held], other, at)
-        n += len(batch)
-        before = np.searchsorted(us, at, "left")
+        codes, found = pd.factorize(batch["key"])
+        place = {k: i for i, k in enumerate(keys)}
+        asks = np.array([place.setdefault(k, len(place)) for k in found], np.int64)[codes]
+        new = len(place) - len(keys)
+        n, last, gone = (np.concatenate([x, np.full(new, y, np.int64)]) for x, y in ((n, 0), (last, NEVER), (gone, NEVER)))
+        key, us = np.concatenate([key, asks]), np.concatenate([us, at])
+        micros = np.concatenate([micros, (batch["amount"] * GRID).round().astype("int64").to_numpy()])
+        other = np.array([x or "" for x in [*other, *batch["other"].tolist()]], object)
+        by = np.lexsort((us, key))
+        key, us, micros, other = key[by], us[by], micros[by], other[by]
+        out = answers(side, key, us, micros, pd.factorize(other)[0], asks, at)
+        held = Moments(key, us)
+        pos, start = held.before(asks, at), np.searchsorted(key, asks, "left")
+        np.add.at(n, asks, 1)
         # what is no longer held lies before everything that can still be asked
-        found[f"{side.name}_n"] = n - len(us) + before
-        found[f"{side.name}_last_us"] = pd.array([held[i - 1][0] if i else gone for i in before.tolist()], "Int64")
-        found["txn_id"] = batch["txn_id"].to_numpy()
-        last = int(us[-1]) if last is None else max(int(us[-1]), last)
-        self._keep(held, n, last, gone)
-        yield pd.DataFrame(found)[[c.split()[0] for c in side.schema.split(", ")]]
-
-    def _keep(self, held, n: int, last: int, gone, until: int | None = None) -> None:
-        """Hold the rows that a row within the slack can still ask for, and wake up when the oldest of them is no longer."""
-        reach = self.side.horizon + self.slack
-        kept = [r for r in held if r[0] >= (last if until is None else max(last, until)) - reach]
-        dropped = [r[0] for r in held[:len(held) - len(kept)]]
-        gone = max([x for x in (gone, *dropped[-1:]) if x is not None], default=None)
-        self.totals.update((int(n), int(last), gone))
-        if kept:
-            self.recent.put(kept)
-        else:
-            self.recent.clear()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if kept:
-            self.handle.registerTimer((kept[-1][0] + reach) // 1000 + 1)
+        out[f"{side.name}_n"] = n[asks] - (np.searchsorted(key, asks, "right") - start) + (pos - start)
+        newest = np.where(pos > start, us[np.maximum(pos - 1, 0)], gone[asks])
+        out[f"{side.name}_last_us"] = pd.array(newest, "Int64")
+        out[f"{side.name}_last_us"][newest == NEVER] = pd.NA
+        out["txn_id"] = batch["txn_id"].to_numpy()
+        np.maximum.at(last, key, us)
+        self._keep(slot, list(place), n, last, gone, key, us, micros, other)
+        return pd.DataFrame(out)[[c.split()[0] for c in side.schema.split(", ")]]
+
+    def _keep(self, slot: int, keys, n, last, gone, key, us, micros, other, until: int = NEVER) -> bool:
+        """Hold the rows that a row within the slack can still ask for; whether there are any."""
+        kept = us >= np.maximum(last, until)[key] - self.reach
+        np.maximum.at(gone, key[~kept], us[~kept])
+        self.totals.updateValue((slot,), (packed({"key": pa.array(keys, pa.string()), "n": n, "last_us": last, "gone_last_us": gone}),))
+        if kept.any():
+            rows = {"key": key[kept], "us": us[kept], "micros": micros[kept], "other": pa.array(other[kept], pa.string())}
+            self.recent.updateValue((slot,), (packed(rows),))
+        elif self.recent.containsKey((slot,)):
+            self.recent.removeKey((slot,))
+        return bool(kept.any())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """No row came for a whole window and slack: nothing that is held can be asked for again."""
-        if self.totals.exists():
-            n, last, gone = self.totals.get()
-            held = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-            self._keep(held, n, last, gone, timerValues.getCurrentWatermarkInMs() * 1000)
+        """Rows that nothing can ask for again leave, whether or not their key had another row."""
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        left = False
+        for (slot,) in list(self.recent.keys()):
+            keys, n, last, gone, place, us, micros, other = self._load(slot)
+            left |= self._keep(slot, keys, n, last, gone.copy(), place, us, micros, np.array(other, object), now)
+        if left:
+            self.handle.registerTimer((now + self.reach) // 1000 + 1)
         return iter([])
 
     def close(self) -> None:
@@ -140,7 +203,10 @@ class WindowHistory(StatefulProcessor):
 
 def window_reads(events: DataFrame, side: Side, slack: int = DAY) -> DataFrame:
     """As-of reads of one side for a stream of events with `ts`. Needs the RocksDB state store provider on the session."""
+    slot = F.pmod(F.xxhash64(*side.key), F.lit(BUCKETS * SLOTS)).cast("int")
+    key = F.to_json(F.struct(*side.key), {"ignoreNullFields": "false"})
     return (events.withWatermark("ts", f"{slack} microseconds")
-            .select("txn_id", "ts", *side.key, F.unix_micros("ts").alias("us"), "amount", F.col(side.other).alias("other"))
-            .groupBy(*side.key)
+            .select("txn_id", "ts", key.alias("key"), slot.alias("slot"), F.unix_micros("ts").alias("us"), "amount", F.col(side.other).alias("other"))
+            .withColumn("bucket", F.floor(F.col("slot") / SLOTS).cast("int"))
+            .groupBy("bucket")
             .transformWithStateInPandas(WindowHistory(side, slack), side.schema, "Append", "EventTime"))
