@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ship
+from .window_state import packed, unpacked
 
 ship(__name__)
 
@@ -22,28 +26,47 @@ OUTPUT = ("txn_id string, payee_vpa string, payee_n long, payee_first_us long, p
           "payee_p2m long, late boolean")
 
 
+#: A payee's payers are kept in so many lists, by hash: a batch reads the lists of its own payers, each with one call.
+SLOTS = 16
+_PAYERS = {"payer": pa.string()}
+
+
 class PayeeHistory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "n long, first_us long, last_us long, payers long, total double, p2m long")
-        self.payers = handle.getMapState("payers", "payer string", "seen boolean")
+        self.payers = handle.getMapState("payer_lists", "slot int", "packed binary")
+
+    def _unseen(self, batch: pd.DataFrame) -> np.ndarray:
+        """Marks the first row of every payer that the payee did not have before, and takes those payers in."""
+        first = ~batch["payer_vpa"].duplicated().to_numpy()
+        fresh = np.zeros(len(batch), bool)
+        for slot, part in batch.assign(place=np.arange(len(batch)))[first].groupby("slot", sort=False):
+            known = unpacked(self.payers.getValue((int(slot),)), _PAYERS)[0].to_pylist()
+            held = set(known)
+            new = [x not in held for x in part["payer_vpa"].tolist()]
+            fresh[part["place"].to_numpy()[new]] = True
+            if any(new):
+                self.payers.updateValue((int(slot),), (packed({"payer": pa.array(known + part["payer_vpa"][new].tolist(), pa.string())}),))
+        return fresh
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "txn_id"])
+        batch = pd.concat(list(rows)).dropna(subset="us").sort_values(["us", "txn_id"])
+        if not len(batch):
+            return
         n, first, last, payers, total, p2m = self.totals.get() if self.totals.exists() else (0, None, None, 0, 0.0, 0)
-        out = []
-        for us, moment in batch.groupby("us", sort=True):
-            late = last is not None and us <= last
-            for r in moment.itertuples():
-                out.append((r.txn_id, key[0], n, first, payers, total, p2m, late))
-            for r in moment.itertuples():
-                if not self.payers.containsKey((r.payer_vpa,)):
-                    self.payers.updateValue((r.payer_vpa,), (True,))
-                    payers += 1
-                n, total, p2m = n + 1, total + r.amount, p2m + (r.txn_type == "P2M")
-            first = us if first is None else min(first, us)
-            last = us if last is None else max(last, us)
-        self.totals.update((int(n), int(first), int(last), int(payers), float(total), int(p2m)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"payee_first_us": "Int64"})
+        us = batch["us"].to_numpy(np.int64)
+        start = np.searchsorted(us, us, "left")            # rows of one moment stand after the same earlier ones
+        running = lambda x, begin: np.concatenate([[begin], x]).cumsum()
+        seen = running(self._unseen(batch), payers)
+        sums = running(batch["amount"].to_numpy(np.float64), total)
+        goods = running((batch["txn_type"] == "P2M").to_numpy(), p2m)
+        earliest = int(us[0]) if first is None else min(first, int(us[0]))
+        known = pd.array(np.full(len(us), earliest), "Int64")
+        known[start == 0] = pd.NA if first is None else first
+        late = np.full(len(us), False) if last is None else us <= last
+        self.totals.update((int(n + len(us)), earliest, int(us[-1]) if last is None else max(int(us[-1]), last), int(seen[-1]), float(sums[-1]), int(goods[-1])))
+        yield pd.DataFrame({"txn_id": batch["txn_id"].to_numpy(), "payee_vpa": key[0], "payee_n": n + start, "payee_first_us": known,
+                            "payee_payers": seen[start], "payee_sum": sums[start], "payee_p2m": goods[start], "late": late})
 
     def close(self) -> None:
         pass
@@ -52,5 +75,6 @@ class PayeeHistory(StatefulProcessor):
 def payee_reads(events: DataFrame) -> DataFrame:
     """As-of payee reads of a stream of events with `us`. Needs the RocksDB
     state store provider on the session."""
-    return (events.select("txn_id", "payee_vpa", "payer_vpa", "amount", "txn_type", "us").groupBy("payee_vpa")
+    slot = F.pmod(F.xxhash64("payer_vpa"), F.lit(SLOTS)).cast("int").alias("slot")
+    return (events.select("txn_id", "payee_vpa", "payer_vpa", "amount", "txn_type", "us", slot).groupBy("payee_vpa")
             .transformWithStateInPandas(PayeeHistory(), OUTPUT, "Append", "None"))
