@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -177,3 +178,14 @@ def test_probes_read_but_do_not_count(spark, events):
 def test_first_row_of_a_repeated_txn_wins(events):
     ev = events(dict(txn_id="a", at=5, amount=2.0), dict(txn_id="a", at=1, amount=1.0), dict(txn_id="b"))
     assert {(r.txn_id, r.amount) for r in ft.first_per_txn(ev).collect()} == {("a", 1.0), ("b", 100.0)}
+
+
+def test_a_task_takes_a_bounded_share_of_a_large_table(spark, events, monkeypatch):
+    ev = events(*[dict(at=i, payer_vpa=f"p{i % 9}@bank", payee_vpa=f"q{i % 7}@bank", amount=float(i)) for i in range(60)])
+    whole = rows(ft.point_in_time(ev, hot=NO_HOT))
+    monkeypatch.setattr("riskloom.session.ROWS_PER_TASK", 5)
+    cut = ft.point_in_time(ev, hot=NO_HOT)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    for key in ("payer_vpa", "payee_vpa", "device_id"):
+        assert re.search(rf"hashpartitioning\({key}#\d+, 12\), REPARTITION_BY_NUM", plan), key
+    assert rows(cut) == whole
