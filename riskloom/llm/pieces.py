@@ -88,16 +88,44 @@ class PairTable:
         self.key = np.array([x[0] for x in pairs], np.int64)
         self.level = np.array([x[1] for x in pairs], np.int32)
         self.merged = np.array([x[2] for x in pairs], np.int32)
+        self._place()
+
+    def _place(self) -> None:
+        """Deal the pairs to slots, eight times as many, by a hash; one whose slot is taken goes to the next free one."""
+        bits = (8 * len(self.key)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        last = (1 << bits) - 1
+        for x, at in enumerate(self._slots(self.key).tolist()):
+            while self.slot[at] >= 0:
+                at = at + 1 & last
+            self.slot[at] = x
+        # a free slot holds a key that no pair has
+        self.slot_key = np.where(self.slot >= 0, self.key[self.slot], FREE) if len(self.key) else np.full(1 << bits, FREE)
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.view(np.uint64) * np.uint64(BY_PLACE) >> self.shift).astype(np.int64)
 
     def find(self, left, right):
         """Level (NEVER if the two do not merge) and merged symbol."""
-        k = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
-        ok = (self.key[at] == k) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.level[at], NEVER), self.merged[at]
+        k = (left.astype(np.int64) << 32 | right).ravel()         # negative where one of them is
+        at = self._slots(k)
+        held = self.slot_key[at]
+        ok = held == k
+        level, merged = np.full(len(k), NEVER, np.int32), np.zeros(len(k), np.int32)
+        on = np.flatnonzero(~ok & (held != FREE) & (k >= 0))
+        while len(on):
+            at[on] = at[on] + 1 & len(self.slot) - 1
+            held = self.slot_key[at[on]]
+            ok[on] = held == k[on]
+            on = on[(held != k[on]) & (held != FREE)]
+        pair = self.slot[at[ok]]
+        level[ok], merged[ok] = self.level[pair], self.merged[pair]
+        return level.reshape(left.shape), merged.reshape(left.shape)
 
 
-NEVER = np.int32(2**31 - 1)
+NEVER, FREE = np.int32(2**31 - 1), np.int64(-(1 << 63))
 
 
 def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -218,47 +246,56 @@ class Encoder:
                     out.append(i)
         return out, made
 
-    def segment_many(self, wanted: list[str], key: np.ndarray | None = None):
+    def segment_many(self, wanted: list[str], key: np.ndarray | None = None, part: np.ndarray | None = None):
         """`segment` for many short parts at once: the same agenda, one candidate of every part per round. Ids of all parts,
-        their count per part, and the same of the merges (only without keys)."""
+        their count per part, and the same of the merges (only without keys). part: which of the parts each row is, where
+        parts occur more than once; what all rows of a part start from is worked out once."""
         table, m = self.pairs, len(wanted)
         size = np.fromiter(map(len, wanted), np.int64, m)
         width = int(size.max())
         codes = np.frombuffer("".join(wanted).encode("utf-32-le"), np.uint32)
         sym = np.full((m, width + 1), -1, np.int32)
         sym[np.repeat(np.arange(m), size), gather(np.zeros(m, np.int64), size)] = table.char[codes]
-        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), (m, width + 1)).copy()
-        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (m, width + 1)).copy()
         level = np.full((m, width + 1), NEVER, np.int32)
         merged = np.zeros((m, width + 1), np.int32)
         level[:, :-1], merged[:, :-1] = table.find(sym[:, :-1], sym[:, 1:])
+        if part is not None:
+            m, sym, level, merged = len(part), sym[part], level[part], merged[part]
+        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), (m, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (m, width + 1)).copy()
         live, rows, merges = np.arange(m), [], []
+        # cells of the tables by one number, row * wide + place
+        wide = width + 1
+        sym_, after_, before_, level_, merged_ = (x.reshape(-1) for x in (sym, after, before, level, merged))
         with np.errstate(over="ignore"):
             while len(live):
                 i = level[live].argmin(1)
-                go = level[live, i] < NEVER
-                r, i = live[go], i[go]
+                at = live * wide + i
+                go = level_[at] < NEVER
+                r, i, at = live[go], i[go], at[go]
                 live = r
-                piece = merged[r, i]
+                piece = merged_[at]
                 merge = i.astype(np.uint64) * np.uint64(BY_PLACE) + table.length[piece] * np.uint64(BY_LENGTH)
                 if key is None:
                     rows.append(r)
                     merges.append(merge)
                 elif self.limit:
                     skip = self.skipped(key[r], merge)
-                    level[r[skip], i[skip]] = NEVER
-                    r, i, piece = r[~skip], i[~skip], piece[~skip]
-                j = after[r, i]
-                k = after[r, j]
-                end = np.minimum(k, width)
-                sym[r, i], sym[r, j], level[r, j] = piece, -1, NEVER
-                after[r, i] = k
-                before[r, end] = i
-                level[r, i], merged[r, i] = table.find(piece, sym[r, end])
-                h = before[r, i]
+                    level_[at[skip]] = NEVER
+                    stay = ~skip
+                    r, i, at, piece = r[stay], i[stay], at[stay], piece[stay]
+                base = at - i
+                j = base + after_[at]
+                k = after_[j]
+                end = base + np.minimum(k, width)
+                sym_[at], sym_[j], level_[j] = piece, -1, NEVER
+                after_[at] = k
+                before_[end] = i
+                level_[at], merged_[at] = table.find(piece, sym_[end])
+                h = before_[at]
                 has = h >= 0
-                r, h, piece = r[has], h[has], piece[has]
-                level[r, h], merged[r, h] = table.find(sym[r, h], piece)
+                h, piece = (base + h)[has], piece[has]
+                level_[h], merged_[h] = table.find(sym_[h], piece)
         alive = sym >= 0
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         merge = np.concatenate(merges)[np.argsort(row, kind="stable")] if rows else np.zeros(0, np.uint64)
@@ -270,24 +307,27 @@ class Encoder:
         size = np.fromiter(map(len, wanted), np.int64, len(wanted))
         return np.logical_and.reduceat((codes >= 0) & (self.pairs.piece_id[codes] >= 0), np.cumsum(size) - size)
 
-    def run(self, wanted: list[str], key: np.ndarray | None = None):
+    def run(self, wanted: list[str], key: np.ndarray | None = None, part: np.ndarray | None = None):
         """Ids, counts, merges and their counts of many parts in the given order: short plain ones in blocks of like length,
-        others one by one."""
+        others one by one. part: as in `segment_many`."""
+        part = np.arange(len(wanted)) if part is None else part
         size = np.fromiter(map(len, wanted), np.int64, len(wanted))
         many = (size > 1) & (size <= SHORT)
         if many.any():
             at = np.flatnonzero(many)
             many[at] = self.whole([wanted[x] for x in at])
+        many, size = many[part], size[part]
         order, found = [], []
         for alike in np.unique((size[many] + 3) // 4):
             at = np.flatnonzero(many & ((size + 3) // 4 == alike))
             for k in range(0, len(at), 20_000):
                 block = at[k:k + 20_000]
                 order.append(block)
-                found.append(self.segment_many([wanted[x] for x in block], None if key is None else key[block]))
+                here, row = np.unique(part[block], return_inverse=True)
+                found.append(self.segment_many([wanted[x] for x in here], None if key is None else key[block], row))
         rest = np.flatnonzero(~many)
         if len(rest):
-            one = [self.segment(wanted[x], None if key is None else int(key[x])) for x in rest]
+            one = [self.segment(wanted[part[x]], None if key is None else int(key[x])) for x in rest]
             order.append(rest)
             found.append((np.array([i for ids, _ in one for i in ids], np.int32), np.array([len(ids) for ids, _ in one]),
                           np.array([i for _, made in one for i in made], np.uint64), np.array([len(made) for _, made in one])))
@@ -325,7 +365,9 @@ class Encoder:
         source = self.plain
         if again.any():
             mine = np.flatnonzero(again)
-            ids, size, _, _ = self.run([flat[x] for x in mine], key[mine])
+            which = np.where(always[mine], len(self.known) + np.arange(len(mine)), at[mine])
+            _, first, part = np.unique(which, return_index=True, return_inverse=True)
+            ids, size, _, _ = self.run([flat[x] for x in mine[first]], key[mine], part)
             source = np.concatenate([source, ids])
             start[mine], n[mine] = len(self.plain) + np.cumsum(size) - size, size
         return source[gather(start, n)], n

@@ -64,8 +64,10 @@ def test_queries_agree_with_sql(spark, tmp_path, corpus, items):
     items.filter("item_id is not null").write.parquet(f"{tmp_path}/benchmark.parquet")
     pages = [(i, f"http{'s' * (i % 2)}://{'www.' * (i % 3 == 0)}Host.org/p{i % 4}{'#x' * (i % 5 == 0)}", f"<p>{i % 6}</p>") for i in range(60)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, [((i * 7 + k * 13) % 29 - 14) / 8 for k in range(32)] if i % 9 else None, i % 3) for i in range(90)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     for name, sql in queries.SQL.items():
         want = con.execute(sql).df()
@@ -364,6 +366,37 @@ def test_pieces_round_trip_and_library(docs, corpus):
     assert len({tuple(pieces.Encoder(model, 0.3, s).encode("unbelievable multitudes").tolist()) for s in range(9)}) > 1
 
 
+def test_pieces_of_repeated_parts(corpus):
+    coder = pieces.Encoder(pieces.load(), 0.4, 3)
+    pairs, r = coder.pairs, random.Random(4)
+    known = dict(zip(pairs.key.tolist(), zip(pairs.level.tolist(), pairs.merged.tolist())))
+    some = [(k >> 32, k & 0xFFFFFFFF) for k in r.sample(list(known), 3000)]
+    some += [(r.randrange(-1, len(pairs.symbols)), r.randrange(-1, len(pairs.symbols))) for _ in range(5000)]
+    left, right = np.array(some, np.int32).T.reshape(2, 8, -1)
+    level, merged = pairs.find(left, right)
+    for x, y, got, into in zip(*(v.ravel().tolist() for v in (left, right, level, merged))):
+        want = known.get(x << 32 | y) if x >= 0 and y >= 0 else None
+        assert (got, into) == want if want else got == pieces.NEVER
+    # what a row starts from is worked out once per part; each row still has its own draw
+    parts = ["▁international", "▁the", "▁understanding", "é", "▁word▁" + "x" * 40]
+    row = np.array([r.randrange(len(parts)) for _ in range(400)])
+    key = np.array([r.getrandbits(64) for _ in row], np.uint64)
+    ids, n, _, _ = coder.run(parts, key, row)
+    ends = np.cumsum(n)
+    for x, k, a, z in zip(row.tolist(), key.tolist(), ends - n, ends):
+        assert ids[a:z].tolist() == coder.segment(parts[x], k)[0]
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    text = b" ".join(b"w%d" % (i % 9 if i < 60 else i) for i in range(90))
+    bits = np.packbits(np.ones(71, bool)).tobytes()
+    want = substring._judged(text, bits, 20)[3]
+    rolling = substring.rolling
+    # the first hash holds one bit of the window: most windows share it with others
+    monkeypatch.setattr(substring, "rolling", lambda h, n, f: rolling(h, n, f) & np.uint64(1) if f == substring.M1 else rolling(h, n, f))
+    assert want.any() and not want.all() and (substring._judged(text, bits, 20)[3] == want).all()
+
+
 def test_substring_without_lists(spark, docs, monkeypatch):
     d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
     a = sorted(map(str, substring.repeats(d).drop("kept").collect()))
