@@ -122,9 +122,10 @@ def _probe(block, buckets, known):
         stay = ~listed(g, known.value)
         g, d, grid = g[stay], d[stay], grid[stay]
         bucket = (g >> np.uint64(32)).astype(np.int64) * buckets >> 32
-        order = np.lexsort((d, grid, bucket))
-        g, d, grid, bucket = g[order], d[order], grid[order], bucket[order]
         mark = bucket * 2 + grid
+        # documents stay in their order; numbers of 16 bits are sorted by counting
+        order = np.argsort(mark.astype(np.uint16) if buckets <= 1 << 15 else mark, kind="stable")
+        g, d, grid, bucket, mark = g[order], d[order], grid[order], bucket[order], mark[order]
         cut = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)] if len(mark) else [0]
         out = []
         for i, j in zip(cut, cut[1:]):
@@ -233,7 +234,7 @@ def _near_hits(block, window, known):
                 g = rolling(word_hashes(words), block, M1)
                 hit = listed(g, known.value)
                 if len(found):
-                    hit |= np.isin(g & SHORT, np.asarray(found, np.int64).view(np.uint64))
+                    hit |= listed(g & SHORT, np.sort(np.asarray(found, np.int64).view(np.uint64)))
                 if hit.any():
                     span = window - block + 1                # a window start sees the rolling starts of so many places
                     total = np.r_[0, np.cumsum(hit)]
@@ -257,9 +258,13 @@ def _judged(text, bits, window):
     h = word_hashes(_words(text))
     at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[:len(h) - window + 1])
     a, z = rolling(h, window, M1)[at], (rolling(h, window, M2)[at] >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((at, z, a))
+    order = np.argsort(a, kind="stable")
     again = np.zeros(len(at), bool)
-    again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (z[order[1:]] == z[order[:-1]])
+    same = a[order[1:]] == a[order[:-1]]
+    if (same & (z[order[1:]] != z[order[:-1]])).any():      # the first hash alone does not tell them apart
+        order = np.lexsort((z, a))
+        same = (a[order[1:]] == a[order[:-1]]) & (z[order[1:]] == z[order[:-1]])
+    again[order[1:]] = same
     return at, a, z, again
 
 
