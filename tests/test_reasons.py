@@ -1,5 +1,7 @@
 """Reason codes and the fit around them: the same results, with little shuffled and the features read once."""
 
+import re
+
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -47,6 +49,15 @@ def test_rows_are_repeated_after_the_shuffle(rows, models):
         assert "Window [max(" in part
 
 
+def test_a_task_takes_a_bounded_share_of_the_alerts(rows, models, monkeypatch):
+    whole = sorted(map(str, md.reason_codes(rows, models).collect()))
+    monkeypatch.setattr(md, "ALERTS_PER_TASK", 50)
+    cut = md.reason_codes(rows, models)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(txn_id#\d+, 24\), REPARTITION_BY_NUM", plan)) == 2
+    assert whole and sorted(map(str, cut.collect())) == whole
+
+
 def test_features_are_read_once_by_the_fit(spark, rows, monkeypatch):
     read, split = spark.sparkContext.accumulator(0), []
 
