@@ -51,7 +51,7 @@ PAIRS, COPIES, COUNTS, ASKED, OWN, ANSWER = range(6)
 ROW = "bucket long, kind int, chunk long, data binary, more binary, counts array<long>"
 #: The end token among word counts; no word holds a line end.
 END_WORD = b"\n"
-COUNTED, CHUNK = 400_000, 300_000
+COUNTED, CHUNK = 600_000, 300_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -63,24 +63,26 @@ def _texts(column: pa.Array) -> list:
 
 
 def _count_words(batches):
-    """Counts in training documents and in all."""
-    seen, held = Counter(), Counter()
+    """Counts in training documents and in all. Each document goes to one of two counters, put together when they are sent."""
+    seen, others = Counter(), Counter()
 
     def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([seen[w] for w in held], pa.int64()),
-                                            pa.array(list(held.values()), pa.int64())], names=["word", "c", "n"])
+        words, c = list(seen), list(seen.values())
+        n = [k + others.pop(w, 0) for w, k in seen.items()]
+        words += others
+        n += others.values()
+        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c + [0] * len(others), pa.int64()), pa.array(n, pa.int64())],
+                                           names=["word", "c", "n"])
         seen.clear()
-        held.clear()
+        others.clear()
         return batch
 
     for b in batches:
         for text, out in zip(_texts(b.column(0)), b.column(1).to_pylist()):
             words = words_of(text)
             words.append(END_WORD)
-            held.update(words)
-            if not out:
-                seen.update(words)
-            if len(held) > COUNTED:
+            (others if out else seen).update(words)
+            if len(seen) + len(others) > COUNTED:
                 yield flush()
     yield flush()
 
@@ -232,9 +234,27 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "kind", "chunk", "data", "more", "counts"])
 
 
+def _ranks(x):
+    """Equal values get one number, in the order of the values."""
+    order = np.argsort(x)
+    x = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.r_[False, x[1:] != x[:-1]])
+    return out
+
+
+def _lexsorted(bucket, x, y):
+    """np.lexsort((y, x, bucket)): the ranks and the place make one number to sort by, as long as it has room for them."""
+    bits = len(x).bit_length()
+    if not len(x) or 3 * bits > 63 or int(bucket.max()) >> (63 - bits):
+        return np.lexsort((y, x, bucket))
+    first = _ranks(bucket << bits | _ranks(x))
+    return np.sort((first << bits | _ranks(y)) << bits | np.arange(len(x))) & (1 << bits) - 1
+
+
 def _split(kind, chunk, bucket, *columns):
     """One packed row per bucket, sorted by the first two columns."""
-    order = np.lexsort((columns[1], columns[0], bucket))
+    order = _lexsorted(bucket, *columns[:2])
     bucket, columns = bucket[order], [x[order] for x in columns]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
     return [(int(bucket[a]), kind, chunk, pack(*[x[a:b] for x in columns]), None, None) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -245,8 +265,7 @@ def _count_bigrams(held):
         v = _ready(held)
         for _, _, w, ends in _chunks(batches, v["number"], 0):
             h = _before(w, ends)
-            _, at, n = np.unique(_keys(h, w), return_index=True, return_counts=True)
-            h, w = h[at], w[at]
+            h, w, n = _summed(h, w, np.ones(len(w), np.int64))
             far = (h >= HASHED) & (w >= HASHED)
             yield _rows(_split(PAIRS, 0, _bucket(h, w, v), h, w, n)
                         + _split(COPIES, 0, _home(w[far], v["parts"]), h[far], w[far], n[far]))

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -518,3 +519,22 @@ def test_every_language_is_learnt(spark):
             continue
         assert r.lang_pred == want[r.text][0] and abs(r.score - want[r.text][1]) < 1e-3
     assert langid.fit(few.limit(0)) is None
+
+
+def test_katz_sorts_and_counts_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        bucket, x, y = rng.integers(0, 7, n), rng.integers(-3, 40, n) << 50, rng.integers(0, 9, n)
+        assert katz._lexsorted(bucket, x, y).tolist() == np.lexsort((y, x, bucket)).tolist()
+    wide = rng.integers(0, 1 << 60, 50)                         # no room for its ranks
+    assert katz._lexsorted(wide, wide, wide).tolist() == np.argsort(wide).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b a", "b c", None]), pa.array([False, True, False])], names=["text", "out"])
+    updates, plain = [], Counter.update
+
+    def update(self, words=None):
+        updates.append(len(words or ()))
+        plain(self, words)
+
+    monkeypatch.setattr(katz.Counter, "update", update)
+    got = {r["word"]: (r["c"], r["n"]) for b in katz._count_words(iter([batch])) for r in b.to_pylist()}
+    assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (0, 1), katz.END_WORD: (2, 3)} and sum(updates) == 8
