@@ -212,6 +212,20 @@ def test_pipeline_near_copies(spark, corpus, monkeypatch):
         assert Counter(x.doc_id for x in got) == Counter(i for i, _ in first.values()), small
 
 
+def test_near_duplicates_come_from_the_tree(spark, monkeypatch):
+    """Without the tree's links nothing is linked but equal texts, however few points a bucket has."""
+    base = words(200, 5, 5000)
+    docs = spark.createDataFrame([(1, base), (2, base + " more"), (3, base), (4, words(200, 6, 5000)), (5, "one more " + base)], "doc_id long, text string")
+
+    def groups():
+        found = {r.d: r.root for r in neardup.near_duplicates(docs).collect()}
+        return sorted(sorted(d for d in found if found[d] == x) for x in set(found.values()))
+
+    assert groups() == [[1, 2, 3, 5], [4]]
+    monkeypatch.setattr(neardup.Bucket, "search", lambda self, rng: [])
+    assert groups() == [[1, 3], [2], [4], [5]]
+
+
 @pytest.mark.parametrize("direct", [1, 8, 48])
 def test_bucket_search_against_all_pairs(monkeypatch, direct):
     monkeypatch.setattr(neardup, "DIRECT", direct)
