@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.catalog import explore
 from riskloom.operators import bayes
 from riskloom.operators import neighbours as nb
 
@@ -62,3 +63,15 @@ def test_synthetic_rows_even_out_the_classes(spark):
         assert x.base != x.neighbour and 0 <= x.share < 1
         assert (x.p, x.q) == tuple(pytest.approx(s + x.share * (t - s)) for s, t in zip(a, b))
     assert made.where(F.col("neighbour") % 7 != 0).count() == 0
+
+
+def test_a_fit_reads_rows_that_are_split_once(spark, monkeypatch):
+    rows = [(i, *[float(i * k % 7) for k in range(9)], int(i % 4 == 0)) for i in range(200)]
+    names = [*explore.legacy.FEATURES, explore.legacy.TARGET]
+    df = spark.createDataFrame(rows, ["row_id", *names])
+    given, fit = [], explore.ex.fit
+    monkeypatch.setattr(explore, "_model_rows", lambda sp, d: df)
+    monkeypatch.setattr(explore.ex, "fit", lambda rows, *more: (given.append(rows), fit(rows, *more))[1])
+    assert sum(r.support for r in explore.QUERIES["fit_decision_tree"](spark, "").collect()) == 40
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan, plan
