@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import NO_ID, doc_key, partitions, stored
+from .common import NO_ID, bounded_batches, doc_key, partitions, release, stored
 
 CLASS_SHARE, HOT_SHARE, K = 1e-6, 1e-6, 5
 #: Tokens a bucket of the bigram table should hold.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Numbers of what is not among the numbered words: other words, start (context only), end. A bigram is h << 24 | w.
 OTHER, START, END, FIRST, SHIFT = 0, 1, 2, 3, 24
 #: From here on, words and bigrams are hashes.
@@ -51,7 +51,7 @@ PAIRS, COPIES, COUNTS, ASKED, OWN, ANSWER = range(6)
 ROW = "bucket long, kind int, chunk long, data binary, more binary, counts array<long>"
 #: The end token among word counts; no word holds a line end.
 END_WORD = b"\n"
-COUNTED, CHUNK = 600_000, 300_000
+COUNTED, CHUNK = 300_000, 300_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -453,6 +453,7 @@ def train(docs: DataFrame, held_out: str = "held_out") -> tuple[dict, DataFrame]
     contexts) and the table of bigrams with counts, by bucket."""
     ship(__name__)
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = F.coalesce(F.col(held_out), F.lit(False))
     table = stored(docs.select("text", out.alias("out")).mapInArrow(_count_words, "word binary, c long, n long")
                    .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
@@ -502,6 +503,7 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     those not held out."""
     ship(__name__)
     v, pairs = train(docs, held_out)
+    release(docs.sparkSession)          # the shuffles of the counts: the occurrences asked about need their room on disk
     held = docs.sparkSession.sparkContext.broadcast(v)
     d, t = doc_key()
     out = F.coalesce(F.col(held_out), F.lit(False))

@@ -552,3 +552,23 @@ def test_katz_sorts_and_counts_once(monkeypatch):
     monkeypatch.setattr(katz.Counter, "update", update)
     got = {r["word"]: (r["c"], r["n"]) for b in katz._count_words(iter([batch])) for r in b.to_pylist()}
     assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (0, 1), katz.END_WORD: (2, 3)} and sum(updates) == 8
+
+
+def test_katz_tasks_take_bounded_batches_and_counts(spark, monkeypatch):
+    counted = katz._count_words
+
+    def watched(batches):
+        yield from counted(b for b in batches if b.nbytes < 8 << 20 or 1 / 0)
+
+    own = spark.conf.get(katz_bound := "spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset(katz_bound)
+    monkeypatch.setattr(katz, "_count_words", watched)
+    try:
+        d = spark.range(24, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab cd ', 150000)").alias("text"), F.lit(False).alias("held_out"))
+        assert katz.train(d)[0]["total"] == 24 * 300_001
+    finally:
+        spark.conf.unset(katz_bound) if own is None else spark.conf.set(katz_bound, own)
+    text = pa.array([" ".join(f"w{i}x{j}" for j in range(100_000)) for i in range(8)])
+    batch = pa.RecordBatch.from_arrays([text, pa.array([False] * 8)], names=["text", "out"])
+    flushed = [b.num_rows for b in counted(iter([batch]))]
+    assert sum(flushed) == 800_000 + len(flushed) and max(flushed) < 500_000
