@@ -94,3 +94,11 @@ def test_registered_models_are_grown_whole(spark, monkeypatch):
     with pytest.raises(StopIteration):
         models.fitted(spark, "/root/testdata/sf0.001")
     assert asked == [2000] and md.PATIENCE == 100
+
+
+def test_the_ablation_is_grown_whole(monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "fitted", lambda sp, d: "fitted")
+    monkeypatch.setattr(models, "tidy", lambda df, digits: df)
+    monkeypatch.setattr(training, "ablate", lambda f, trees=md.TREES, check_leaks=True: (asked.append(trees), "table"))
+    assert models.QUERIES["ablation_without_pair_history"](None, "") == "table" and asked == [2000]
