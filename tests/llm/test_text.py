@@ -226,6 +226,29 @@ def test_near_duplicates_come_from_the_tree(spark, monkeypatch):
     assert groups() == [[1, 3], [2], [4], [5]]
 
 
+def test_no_pair_is_lost_between_buckets(spark):
+    """A pair at exactly 0.8 that thirty bands of five min-hashes leave apart."""
+    w = [f"w206042x{i}" for i in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(w[:13])), (2, " ".join(w[1:]))], "doc_id long, text string")
+    assert [r.doc_id for r in neardup.keep_first(docs).collect()] == [1]
+
+
+@pytest.mark.parametrize("listed", [0, 1, 2])
+def test_similar_sets_share_one_of_their_first_shingles(listed):
+    r = np.random.default_rng(listed)
+    for t in range(3000):
+        n = int(r.integers(1, 40)) if t % 10 else int(r.integers(400, 600))     # the parities of some have twice the bits of others
+        every = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        a, b = (np.sort(r.permutation(every)[:max(1, len(every) - int(r.integers(0, 3 + n // 10)))]) for _ in range(2))
+        hashes = np.sort(r.permutation(every)[:listed * len(every) // 2])
+        frequent = np.stack([hashes, r.permutation(len(hashes)).astype(np.uint64)])
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            sizes, bits = np.array([len(a), len(b)]), [neardup.parities(a), neardup.parities(b)]
+            assert sum(len(x) for x, _ in neardup.possible(np.arange(2), sizes, bits, 80))
+            assert len(np.intersect1d(neardup.first(a, 80, frequent), neardup.first(b, 80, frequent)))
+
+
 @pytest.mark.parametrize("direct", [1, 8, 48])
 def test_bucket_search_against_all_pairs(monkeypatch, direct):
     monkeypatch.setattr(neardup, "DIRECT", direct)
