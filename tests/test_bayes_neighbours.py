@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,26 @@ def test_a_fit_reads_rows_that_are_split_once(spark, monkeypatch):
     assert sum(r.support for r in explore.QUERIES["fit_decision_tree"](spark, "").collect()) == 40
     plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan, plan
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_a_block_is_searched_in_part(monkeypatch, bounded):
+    """Points far off in the widest column are not compared, and the answers are those of all pairs."""
+    r = np.random.default_rng(3)
+    v = np.stack([r.integers(0, 100_000, 3000), r.integers(0, 30, 3000)], axis=1).astype(float)
+    v[:40] = v[0]                                               # equals go by key
+    ids, compared, plain = r.permutation(3000).astype(np.int64), [], nb.squared
+    d = plain(v, v)
+    d[ids[:, None] == ids[None, :]] = np.inf
+    want = {(int(ids[i]), int(ids[j]), d[i, j]) for i in range(3000) for j in np.lexsort((ids, d[i]))[:4]}
+    far = np.sort(d, axis=1)[:, 3] if bounded else np.full(3000, np.inf)
+
+    def rows(asks, bound):
+        n = pa.array(np.zeros(3000, np.int32))
+        return pa.RecordBatch.from_arrays([n, n, pa.array(np.full(3000, asks, np.int32)), pa.array(ids), pa.array(list(v)), pa.array(bound)],
+                                          names=["cell", "block", "asks", "id", "v", "d2"])
+
+    monkeypatch.setattr(nb, "squared", lambda x, y: compared.append(len(x) * len(y)) or plain(x, y))
+    got = [b.to_pydict() for b in nb._search(4)([rows(0, np.full(3000, np.inf)), rows(1, far)])]
+    assert {t for b in got for t in zip(b["id"], b["other"], b["d2"])} == want
+    assert sum(compared) < 3000 * 3000 / 10
